@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import neardup
+from strata.llm import neardup, repeated_lines
 from strata.session import table
 
 #: TESTDATA.md fixes word triples, 30 words and 0.5 for the ingest table.
@@ -18,6 +18,27 @@ def _ingest_texts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "ingest").select(F.col("record_id").alias("id"), "text")
 
 
+def _ticker_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "ingest").select(F.col("record_id").alias("record"), F.upper(F.trim("ticker")).alias("source"), "text")
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = repeated_lines.repeated_lines(_ticker_rows(spark, sf)).occurrences()
+    return found.select(F.col("record").alias("record_id"), F.col("line").alias("line_no"))
+
+
+def p1_clean(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _ticker_rows(spark, sf)
+    clean = repeated_lines.remove_lines(rows, repeated_lines.repeated_lines(rows).occurrences())
+    return clean.withColumnRenamed("record", "record_id")
+
+
+def p1_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Maximal repeated blocks with the place of one occurrence."""
+    found = repeated_lines.repeated_lines(_ticker_rows(spark, sf)).maximal()
+    return found.select(F.col("source").alias("ticker"), "lines", "records", F.col("record").alias("record_id"), F.col("line").alias("line_no"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = neardup.expand_pairs(neardup.near_duplicates(_ingest_texts(spark, sf), INGEST_NEARDUP))
     return pairs.select(F.col("a").alias("record_id_a"), F.col("b").alias("record_id_b"))
@@ -29,7 +50,34 @@ def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_clean": p1_clean,
+    "p1_blocks": p1_blocks,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
 }
-SQL: dict[str, str] = {}
+_P1_CASES = r"""
+    WITH lines AS (
+        SELECT record_id, upper(trim(ticker, ' ')) AS source, text,
+               unnest(string_split(text, chr(10))) AS line,
+               unnest(range(len(string_split(text, chr(10))))) AS line_no
+        FROM ingest WHERE ticker IS NOT NULL AND text IS NOT NULL),
+    normal AS (
+        SELECT record_id, source, line_no,
+               trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '#', 'g'), '[^a-z#]+', ' ', 'g'), ' ') AS form
+        FROM lines),
+    held AS (SELECT source, count(DISTINCT record_id) AS n FROM lines GROUP BY source),
+    spread AS (
+        SELECT source, form, count(DISTINCT record_id) AS n FROM normal WHERE length(form) >= 20 GROUP BY source, form),
+    cases AS (
+        SELECT source, form FROM spread JOIN held USING (source) WHERE spread.n >= 6 AND spread.n >= 0.03 * held.n)
+"""
+SQL: dict[str, str] = {
+    "p1_found": _P1_CASES + """
+    SELECT record_id, CAST(line_no AS INTEGER) AS line_no FROM normal JOIN cases USING (source, form)""",
+    "p1_clean": _P1_CASES + """,
+    gone AS (SELECT record_id, list(line_no) AS gone FROM normal JOIN cases USING (source, form) GROUP BY record_id)
+    SELECT record_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(
+        list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END AS text
+    FROM ingest LEFT JOIN gone USING (record_id)""",
+}
