@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from strata.plans import skew_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**skew_queries.QUERIES}
+SQL: dict[str, str] = {**skew_queries.SQL}
 FLAGSHIP = "hybrid_v2"
