@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.plans import skew_queries
+from strata.plans import skew_queries, unit_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**skew_queries.QUERIES}
-SQL: dict[str, str] = {**skew_queries.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**skew_queries.QUERIES, **unit_queries.QUERIES}
+SQL: dict[str, str] = {**skew_queries.SQL, **unit_queries.SQL}
 FLAGSHIP = "hybrid_v2"
