@@ -37,14 +37,14 @@ class NearDupConfig:
     half: int = 2
     bands: int = 12
     cell_rows: int = 200_000
-    #: sketch matches (of 64 two-bit lanes) below which a candidate is dropped; None: mean minus 3.2 standard deviations at the threshold
+    #: sketch matches (of 64 two-bit lanes) below which a candidate is dropped; None: mean minus 2.7 standard deviations at the threshold
     sketch_floor: int | None = None
 
     def floor(self) -> int:
         if self.sketch_floor is not None:
             return self.sketch_floor
         p = self.threshold + (1 - self.threshold) / 4
-        return max(0, int(SKETCH_BINS * p - 3.2 * (SKETCH_BINS * p * (1 - p)) ** 0.5))
+        return max(0, int(SKETCH_BINS * p - 2.7 * (SKETCH_BINS * p * (1 - p)) ** 0.5))
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -186,10 +186,11 @@ def _cell_pairs(a: np.ndarray, side: np.ndarray, same: bool, ids: np.ndarray, b:
 def candidates(sig: DataFrame, cfg: NearDupConfig) -> DataFrame:
     """(a, b), a < b: pairs of ids in one cell of the tensored tables that pass the sketch; once each."""
     spark = sig.sparkSession
-    values = sig.select("id", "b", "sk", F.posexplode("a").alias("band", "av"))
+    values = sig.select("id", "b", "sk", F.explode("a").alias("av"))
+    # loads are estimated from every sixteenth text; they steer where rows go, not which are compared
     hot = (
-        values.groupBy("band", "av").agg(F.count("*").alias("n")).where(F.col("n") > cfg.cell_rows)
-        .select("band", "av", F.ceil(F.col("n") / cfg.cell_rows).cast("int").alias("blocks"))
+        values.where(F.expr("pmod(xxhash64(id, 3), 16) = 0")).groupBy("av").agg((F.count("*") * 16).alias("n")).where(F.col("n") > cfg.cell_rows)
+        .select("av", F.ceil(F.col("n") / cfg.cell_rows).cast("int").alias("blocks"))
     )
     hot = cut(hot)
     if hot.isEmpty():
@@ -197,7 +198,7 @@ def candidates(sig: DataFrame, cfg: NearDupConfig) -> DataFrame:
     else:
         # block x of a hot value meets every block y: cell (min, max); one row goes to `blocks` cells
         placed = (
-            values.join(small_side(hot), ["band", "av"], "left")
+            values.join(small_side(hot), "av", "left")
             .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
             .withColumn("block", F.expr("cast(pmod(xxhash64(id, 11), blocks) as int)"))
             .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
@@ -228,33 +229,40 @@ def candidates(sig: DataFrame, cfg: NearDupConfig) -> DataFrame:
     return placed.groupBy("part").applyInPandas(run, "a bigint, b bigint").distinct()
 
 
-def _gram_sets(docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            ids, texts = pdf["id"].to_numpy(), pdf["text"].to_numpy()
-            for part in batches(texts):
-                hashes, offsets = word_hashes(texts[part])
-                grams, owner, _ = grams_by_text(hashes, offsets, cfg.shingle)
-                grams, owner = _distinct(grams, owner)
-                n = part.stop - part.start
-                at = np.searchsorted(owner, np.arange(n + 1))
-                signed = grams.view(np.int64)
-                yield pd.DataFrame({"id": ids[part], "grams": [signed[at[i] : at[i + 1]] for i in range(n)]})
-
-    return docs.mapInPandas(run, "id bigint, grams array<bigint>")
+def _gram_lists(texts: np.ndarray, shingle: int) -> list[np.ndarray]:
+    """Sorted distinct n-grams of each text."""
+    out: list[np.ndarray] = []
+    for part in batches(texts):
+        hashes, offsets = word_hashes(texts[part])
+        grams, owner, _ = grams_by_text(hashes, offsets, shingle)
+        grams, owner = _distinct(grams, owner)
+        at = np.searchsorted(owner, np.arange(part.stop - part.start + 1))
+        out += [grams[x:y] for x, y in zip(at[:-1], at[1:])]
+    return out
 
 
 def verify(docs: DataFrame, pairs: DataFrame, cfg: NearDupConfig) -> DataFrame:
-    """(a, b, similarity) of the pairs whose exact similarity reaches cfg.threshold. `pairs` should be checkpointed."""
+    """(a, b, similarity) of the pairs whose exact similarity reaches cfg.threshold. `pairs` should be checkpointed.
+
+    Texts travel as they are, since they compress and n-gram hashes don't.
+    """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = _gram_sets(docs.select("id", "text").join(small_side(ids), "id", "left_semi"), cfg)
+    texts = docs.select("id", "text").join(small_side(ids), "id", "left_semi")
     both = (
-        pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
-        .withColumn("common", F.size(F.array_intersect("ga", "gb")))
-        .withColumn("similarity", F.col("common") / (F.size("ga") + F.size("gb") - F.col("common")))
-    )
-    return both.where(F.col("similarity") >= cfg.threshold).select("a", "b", "similarity")
+        pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+        .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    )
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            x, y = _gram_lists(pdf["ta"].to_numpy(), cfg.shingle), _gram_lists(pdf["tb"].to_numpy(), cfg.shingle)
+            common = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y)], dtype=np.float64)
+            either = np.array([len(p) + len(q) for p, q in zip(x, y)], dtype=np.float64) - common
+            sim = np.divide(common, either, out=np.zeros_like(common), where=either > 0)
+            keep = sim >= cfg.threshold
+            yield pd.DataFrame({"a": pdf["a"].to_numpy()[keep], "b": pdf["b"].to_numpy()[keep], "similarity": sim[keep]})
+
+    return both.mapInPandas(run, "a bigint, b bigint, similarity double")
 
 
 @dataclass
@@ -278,7 +286,7 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig) -> NearDups:
     sig = cut(signatures(docs, cfg))
     members = cut(classes(sig))
     copies = members.where("id <> rep").select("id")
-    reps = sig.join(copies, "id", "left_anti")
+    reps = sig.join(small_side(copies), "id", "left_anti")
     pairs = cut(candidates(reps, cfg))
     return NearDups(cut(verify(docs, pairs, cfg)), members, sig.select("id"))
 
