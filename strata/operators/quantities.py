@@ -11,12 +11,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.functions import units
 from strata.session import small_side
 
 
-@F.pandas_udf("vf double, vc string, sf double, sc string")
+@F.pandas_udf(T.StructType([T.StructField("vf", T.DoubleType()), T.StructField("vc", T.StringType()), T.StructField("sf", T.DoubleType()), T.StructField("sc", T.StringType())]))
 def _note_units(notes: pd.Series) -> pd.DataFrame:
     rows = []
     for note in notes:
@@ -25,7 +26,7 @@ def _note_units(notes: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["vf", "vc", "sf", "sc"])
 
 
-@F.pandas_udf("f double, c string")
+@F.pandas_udf(T.StructType([T.StructField("f", T.DoubleType()), T.StructField("c", T.StringType())]))
 def _line_unit(lines: pd.Series) -> pd.DataFrame:
     rows = []
     for line in lines:
