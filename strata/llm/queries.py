@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import neardup, repeated_lines
+from strata.llm import leakage, mixing, neardup, repeated_lines, residue, splitting
 from strata.session import table
 
 #: TESTDATA.md fixes word triples, 30 words and 0.5 for the ingest table.
@@ -49,12 +49,78 @@ def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.groups(found).withColumnRenamed("id", "record_id")
 
 
+def _pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return splitting.split_sections(table(spark, sf, "filing_section").select(F.col("section_id").alias("key"), "text"))
+
+
+def p2_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return _pieces(spark, sf).withColumnRenamed("key", "section_id")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Sections that the operator had to cut: those longer than the limit."""
+    return _pieces(spark, sf).where("chunk_index = 0 and total_chunks_in_section > 1").select(F.col("key").alias("section_id"))
+
+
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    q = table(spark, sf, "eval_question")
+    return q.select("id", F.lit("question").alias("part"), F.col("question").alias("text")).unionByName(q.select("id", F.lit("passage").alias("part"), F.col("passage").alias("text")))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf, "documents"), _items(spark, sf)).select("doc_id", "id").distinct()
+
+
+def p6_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaked items, with reordered passages: tiles of at least 8 words that cover half of a part."""
+    found = leakage.leaks(table(spark, sf, "documents"), _items(spark, sf), leakage.LeakConfig(min_match=8, min_coverage=0.5))
+    return found.groupBy("id", "part").agg(F.countDistinct("doc_id").alias("documents"), F.max("coverage").alias("most"), F.max("longest").alias("longest"))
+
+
+def _mixture(spark: SparkSession, sf: str) -> mixing.Mixture:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_target"))
+
+
+def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixture(spark, sf).slots
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixture(spark, sf).shares
+
+
+def _hosted(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lower(F.trim("source")).alias("host"), "text")
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.residue(_hosted(spark, sf)).select(F.col("id").alias("doc_id"))
+
+
+def p8_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.residue(_hosted(spark, sf)).withColumnRenamed("id", "doc_id")
+
+
+def p8_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus without the residue."""
+    return table(spark, sf, "documents").join(p8_found(spark, sf), "doc_id", "left_anti").select("doc_id", "lang", "source", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clean": p1_clean,
     "p1_blocks": p1_blocks,
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p6_found": p6_found,
+    "p6_report": p6_report,
+    "p7_mixture": p7_mixture,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_evidence": p8_evidence,
+    "p8_kept": p8_kept,
 }
 _P1_CASES = r"""
     WITH lines AS (
@@ -80,4 +146,14 @@ SQL: dict[str, str] = {
     SELECT record_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(
         list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END AS text
     FROM ingest LEFT JOIN gone USING (record_id)""",
+    "p2_found": r"""SELECT section_id FROM filing_section WHERE length(trim(text, chr(32) || chr(9) || chr(13) || chr(10))) > 2000""",
+    "p6_found": r"""
+    WITH words AS (
+        SELECT id, regexp_extract_all(lower(t), '[a-z0-9]+') AS w
+        FROM (SELECT id, question AS t FROM eval_question UNION ALL SELECT id, passage FROM eval_question) WHERE t IS NOT NULL),
+    seeds AS (
+        SELECT DISTINCT id, array_to_string(w[i:i + 11], ' ') AS gram FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS i FROM words)),
+    docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+    grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM docs))
+    SELECT DISTINCT doc_id, id FROM grams JOIN seeds USING (gram)""",
 }
