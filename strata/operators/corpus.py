@@ -61,9 +61,10 @@ def recover_by_reference(sections: DataFrame, cfg: Settings = Settings()) -> Dat
     rest = F.expr("substring(_text, _a)")
     audit = F.regexp_instr("_rest", F.lit(r"(?im)^[ \t]*report of independent registered public accounting firm"))
     cutting = marked.withColumn("_a", start).withColumn("_rest", F.when(F.col("_a") > 0, rest)).withColumn("_b", F.coalesce(audit, F.lit(0)))
-    seven, eight = F.trim(F.expr("substring(_rest, 1, _b - 1)")), F.trim(F.expr("substring(_rest, _b)"))
+    strip = lambda e: F.regexp_replace(F.expr(e), r"^\s+|\s+$", "")
+    seven, eight = strip("substring(_rest, 1, _b - 1)"), strip("substring(_rest, _b)")
     ok = F.col("_stub") & (F.col("_a") > 0) & (F.col("_b") > 1) & (F.length(seven) > 0) & (F.length(eight) > 0)
-    text = F.when(ok & (F.col("item") == "Item 7"), seven).when(ok & (F.col("item") == "Item 8"), eight).when(ok & (F.col("item") == F.col("_donor")), F.trim(F.expr("substring(_text, 1, _a - 1)"))).otherwise(F.col("text"))
+    text = F.when(ok & (F.col("item") == "Item 7"), seven).when(ok & (F.col("item") == "Item 8"), eight).when(ok & (F.col("item") == F.col("_donor")), strip("substring(_text, 1, _a - 1)")).otherwise(F.col("text"))
     changed = cutting.withColumn("_ok", F.coalesce(ok & (F.col("item").isin("Item 7", "Item 8") | (F.col("item") == F.col("_donor"))), F.lit(False))).withColumn("text", text)
     sparse = F.when(F.col("_ok"), tx.is_sparse(F.col("text"), cfg.sparse_chars, cfg.single_sentence_chars)).otherwise(F.col("is_sparse"))
     by_ref = F.when(F.col("_ok") & F.col("item").isin("Item 7", "Item 8"), F.lit(False)).when(F.col("_ok"), tx.by_reference(F.col("text"), cfg.reference_window)).otherwise(F.col("incorporated_by_reference"))
@@ -99,19 +100,21 @@ def pack_sentences(sentences: list[str], counts: list[int], size: int, overlap:
 def chunk_sections(sections: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """One row per chunk of (filing_id, item, text, ...) with chunk_index, total_chunks_in_section and point_id. Sections are packed where they lie: no shuffle."""
     size, overlap = cfg.chunk_tokens, cfg.chunk_overlap
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def packed(it: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for sentences, counts, whole in it:
-            yield pd.Series([[w] if sum(n) <= size else pack_sentences(list(s), list(n), size, overlap) for s, n, w in zip(sentences, counts, whole)])
-
     # a sentence that is too long by itself is cut into token windows first
-    pieces = F.flatten(F.transform(tx.split_sentences(F.col("text")), lambda s: F.when(F.size(tx.tokenize(s)) <= size, F.array(s)).otherwise(F.transform(token_windows(tx.tokenize(s), size, overlap), lambda w: F.array_join(w, " ")))))
-    ready = sections.where(F.length(F.trim("text")) > 0).withColumn("_s", pieces).withColumn("_n", F.transform("_s", lambda s: F.size(tx.tokenize(s))))
-    chunks = ready.withColumn("_c", packed(F.col("_s"), F.col("_n"), F.trim("text"))).withColumn("total_chunks_in_section", F.size("_c"))
+    windows = lambda s: F.transform(token_windows(tx.tokenize(s), size, overlap), lambda w: F.array_join(w, " "))
+    pieces = F.flatten(F.transform(tx.split_sentences(F.col("text")), lambda s: F.when(F.size(tx.tokenize(s)) <= size, F.array(s)).otherwise(windows(s))))
     keep = [c for c in sections.columns if c != "text"]
-    out = chunks.select(*keep, "total_chunks_in_section", F.posexplode("_c").alias("chunk_index", "text"))
-    return out.withColumn("point_id", point_id(F.col("filing_id"), F.col("item"), F.col("chunk_index")))
+    ready = sections.where(F.length(F.trim("text")) > 0).select(*keep, F.trim("text").alias("text"), pieces.alias("_s"))
+    ready = ready.withColumn("_n", F.transform("_s", lambda s: F.size(tx.tokenize(s))))
+    schema = T.StructType([*sections.select(*keep).schema.fields, T.StructField("total_chunks_in_section", T.IntegerType()), T.StructField("chunk_index", T.IntegerType()), T.StructField("text", T.StringType())])
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            chunks = [[t] if sum(n) <= size else pack_sentences(list(s), list(n), size, overlap) for t, s, n in zip(pdf["text"], pdf["_s"], pdf["_n"])]
+            out = pdf[keep].assign(total_chunks_in_section=[len(c) for c in chunks], chunk_index=[list(range(len(c))) for c in chunks], text=chunks)
+            yield out.explode(["chunk_index", "text"]).astype({"total_chunks_in_section": "int32", "chunk_index": "int32"})
+
+    return ready.mapInPandas(run, schema).withColumn("point_id", point_id(F.col("filing_id"), F.col("item"), F.col("chunk_index")))
 
 
 def renumbered(chunks: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -20,7 +20,7 @@ def _fuzzy(names: dict[str, str], cutoff: float):
         for x in s.dropna().unique():
             near = difflib.get_close_matches(x, list(names), n=1, cutoff=cutoff)
             memo[x] = names[near[0]] if near else None
-        return s.map(memo)
+        return pd.Series([memo.get(x) if isinstance(x, str) else None for x in s], dtype=object)
 
     return run
 
