@@ -122,7 +122,8 @@ def evidence(text: str | None) -> tuple[str, str] | None:
     """(kind, matching passage) of the first evidence found, else None."""
     if not text:
         return None
-    low = text.lower()
+    # pieces may be spread over wrapped lines
+    low = (views(text)[1] if "\n" in text or "  " in text or "*" in text else text).lower()
     live = [(kind, pattern) for kind, pattern, pieces in PATTERNS if any(p in low for p in pieces)]
     if (found := _repeated(low)) is not None:
         return "filler", found[:200]
