@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strata.functions.text import tokenize
 from strata.operators.predicates import row_scope
-from strata.session import small_side
+from strata.session import BROADCAST_ROWS
 from strata.settings import Settings
 
 
@@ -42,16 +42,19 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def scores(index: Index, queries: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """(query_id, key, score), positive scores only. The queries are a stated set; only postings of their terms leave the scan."""
     wanted = query_terms(queries)
-    vocabulary = small_side(wanted.select("term").distinct())
+    vocabulary = wanted.select("term").distinct()
+    # both small sides have at most one row per query term, so counting the query terms bounds them without touching the corpus
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hint = F.broadcast if few else (lambda df: df)
     tf = (
-        index.docs.select("key", "len", F.explode("tokens").alias("term")).join(vocabulary, "term", "left_semi")
+        index.docs.select("key", "len", F.explode("tokens").alias("term")).join(hint(vocabulary), "term", "left_semi")
         .groupBy("key", "len", "term").agg(F.count("*").alias("tf"))
     )
     weighted = wanted.join(index.terms.select("term", "idf"), "term")
     k1, b = cfg.bm25_k1, cfg.bm25_b
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     return (
-        tf.join(small_side(weighted), "term").join(F.broadcast(index.stats.select("avg_len")))
+        tf.join(hint(weighted), "term").join(F.broadcast(index.stats.select("avg_len")))
         .groupBy("query_id", "key").agg(F.sum(part).alias("score")).where("score > 0")
     )
 
