@@ -104,8 +104,14 @@ _BREAK = re.compile(r"[ \t\r]*\n[ \t]*(?:>+[ \t]*)?")
 
 def views(text: str) -> tuple[str, str]:
     """The text with its lines, and with wrapped lines joined; both without quotation marks of replies, emphasis and repeated blanks."""
-    lined = re.sub(r"[ \t  ]+", " ", re.sub(r"\*(?=\S)|(?<=\S)\*", "", _BREAK.sub("\n", text.replace("​", ""))))
-    lined = re.sub(r"^>+ ?", "", lined).strip()
+    lined = text.replace("\u200b", "").replace("\u00a0", " ").replace("\t", " ")
+    if "\n" in lined:
+        lined = _BREAK.sub("\n", lined)
+    if "*" in lined:
+        lined = re.sub(r"\*(?=\S)|(?<=\S)\*", "", lined)
+    while "  " in lined:
+        lined = lined.replace("  ", " ")
+    lined = lined.lstrip("> ").rstrip()
     return lined, lined.replace("\n", " ")
 
 
@@ -123,12 +129,13 @@ def evidence(text: str | None) -> tuple[str, str] | None:
     if not text:
         return None
     # pieces may be spread over wrapped lines
-    low = (views(text)[1] if "\n" in text or "  " in text or "*" in text else text).lower()
+    both = views(text)
+    low = both[1].lower()
     live = [(kind, pattern) for kind, pattern, pieces in PATTERNS if any(p in low for p in pieces)]
     if (found := _repeated(low)) is not None:
         return "filler", found[:200]
     if live:
-        for view in dict.fromkeys(views(text)):
+        for view in dict.fromkeys(both):
             for kind, pattern in live:
                 if m := pattern.search(view):
                     return kind, m.group()[:200]
