@@ -159,9 +159,11 @@ def furniture(docs: DataFrame, cfg: ResidueConfig = ResidueConfig()) -> DataFram
 
 def residual(docs: DataFrame, cfg: ResidueConfig = ResidueConfig()) -> DataFrame:
     """(id, text): the records without their host's furniture."""
-    with_lines = docs.join(small_side(furniture(docs, cfg)), "host", "left").withColumn("forms", F.when(F.col("lines").isNotNull(), _forms(F.col("text"))))
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("lines", F.element_at("forms", i + 1))), "\n")
-    return with_lines.select("id", F.when(F.col("lines").isNull(), F.col("text")).otherwise(kept).alias("text"))
+    known = docs.join(small_side(furniture(docs, cfg)), "host", "left")
+    # lines and forms are zipped, so that the forms of a text are made once and not once for each of its lines
+    zipped = F.arrays_zip(F.split("text", "\n", -1).alias("line"), _forms(F.col("text")).alias("form"))
+    kept = F.transform(F.filter(zipped, lambda s: ~F.array_contains("lines", s["form"])), lambda s: s["line"])
+    return known.select("id", F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))
 
 
 def residue(docs: DataFrame, cfg: ResidueConfig = ResidueConfig()) -> DataFrame:
