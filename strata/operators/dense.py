@@ -58,16 +58,18 @@ def _scan(pool: DataFrame, rows: list, n: int, kind: str) -> DataFrame:
             pdf = pdf.sort_values("key", kind="stable")
             keys = pdf["key"].to_numpy()
             cosine = unit(np.stack(pdf["embedding"].to_numpy()).astype(np.float64)) @ vectors.T
-            got = []
+            of, hits, values = [], [], []
             for q, wanted in enumerate(scopes):
                 ok = np.ones(len(pdf), dtype=bool)
                 for column, value in zip(("ticker", "year", "section"), wanted):
                     if value is not None:
-                        ok &= (pdf[column] == value).to_numpy()
+                        ok &= (pdf[column] == value).fillna(False).to_numpy(dtype=bool)
                 at = np.flatnonzero(ok)
                 best = at[np.argsort(-np.round(cosine[at, q], 9), kind="stable")[:n]]
-                got.append(pd.DataFrame({"query_id": [ids[q]] * len(best), "key": keys[best], "score": cosine[best, q]}))
-            yield pd.concat(got)
+                of += [ids[q]] * len(best)
+                hits.append(keys[best])
+                values.append(cosine[best, q])
+            yield pd.DataFrame({"query_id": pd.Series(of, dtype=object), "key": np.concatenate(hits), "score": np.concatenate(values)})
 
     return pool.mapInPandas(run, f"query_id {kind}, key bigint, score double")
 
