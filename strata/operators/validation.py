@@ -42,7 +42,7 @@ def validate(calls: DataFrame, cfg: Settings = Settings(), aliases: dict[str, li
     df = calls.withColumn("used_ticker", F.coalesce(exact, inside, close))
     digits = F.regexp_extract(F.coalesce(F.col("year").cast("string"), F.lit("")), r"(?:19|20)\d{2}", 0).try_cast("int")
     low, high = min(cfg.years), max(cfg.years)
-    df = df.withColumn("used_year", F.least(F.greatest(digits, F.lit(low)), F.lit(high)))
+    df = df.withColumn("used_year", F.when(digits.isNotNull(), F.least(F.greatest(digits, F.lit(low)), F.lit(high))))
     note = lambda field, proposed, used, why: F.struct(F.lit(field).alias("field"), proposed.cast("string").alias("proposed"), used.cast("string").alias("used"), F.lit(why).alias("reason"))
     raw_year = F.trim(F.coalesce(F.col("year").cast("string"), F.lit("")))
     notes = F.array(
