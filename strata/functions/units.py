@@ -233,8 +233,10 @@ def find_money_unit(text: str) -> Unit | None:
 
 _PREFIX = r"(?P<cur>US\$|U\.S\.\$|CA\$|CDN\$|C\$|[€£¥$]|\b(?:USD|EUR|GBP|JPY|CAD)\b)"
 _AMOUNT = re.compile(
-    rf"(?P<neg>\(|-)?(?:{_PREFIX}\s?)?(?<![\d.,A-Za-z])(?P<num>\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|\d+(?:\.\d+)?)(?P<rest>[^\d\n]{{0,40}})", re.IGNORECASE
+    rf"(?P<neg>\(|(?<![\w.)%°])-)?(?:{_PREFIX}\s?)?(?<![\d.,A-Za-z])(?P<num>\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|\d+(?:\.\d+)?)(?=(?P<rest>[^\d\n]{{0,40}}))", re.IGNORECASE
 )
+#: A currency right before a number belongs to that number, not to the one before it.
+_NEXT_PREFIX = re.compile(rf"{_PREFIX}\s?$", re.IGNORECASE)
 #: Words that show that a number is not a quantity even if a unit's letter follows.
 _WORD_AFTER = re.compile(r"[A-Za-z]")
 
@@ -258,9 +260,13 @@ class Quantity:
 def find_quantities(text: str) -> list[Quantity]:
     """All amounts of money and physical quantities of a text, in order. Bare numbers are none."""
     out = []
+    read_to = 0
     for m in _AMOUNT.finditer(text):
         rest = m.group("rest")
-        currency = m.group("cur")
+        if text[m.end("rest") : m.end("rest") + 1].isdigit():
+            rest = _NEXT_PREFIX.sub("", rest)
+        # a currency read as the unit of the number before isn't read again
+        currency = m.group("cur") if m.start("cur") >= read_to else None
         amount = float(m.group("num").replace(",", ""))
         end = m.end("num")
         if currency:
@@ -279,9 +285,13 @@ def find_quantities(text: str) -> list[Quantity]:
             if unit.currency and (word in _LETTERS or _WORD_AFTER.match(rest[read : read + 1])):
                 continue  # a letter after a bare number ("10-K", "2024 B...") is no scale
             end += read
-        negative = m.group("neg") == "-" or (m.group("neg") == "(" and text[end : end + 1] == ")")
+        bracketed = m.group("neg") == "(" and text[end : end + 1] == ")" and unit.dims == MONEY
+        # in '5 million euros ($6 million)' the brackets hold a conversion
+        converted = bracketed and out and out[-1].unit != unit and not text[read_to : m.start()].strip(" ")
+        negative = m.group("neg") == "-" or (bracketed and not converted)
         start = m.start("cur") if currency else m.start("num")
         out.append(Quantity(start, text[start:end], -amount if negative else amount, unit))
+        read_to = end
     return out
 
 

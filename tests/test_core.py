@@ -401,6 +401,16 @@ def test_quantities(text, want):
     assert [k for k, _ in got] == [k for k, _ in want] and all(abs(a - b) <= 1e-9 * abs(b) for (_, a), (_, b) in zip(got, want))
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("from $10 to $12", [(10, "USD"), (12, "USD")]), ("up from US$1.76bn, then $79.8MM", [(1.76e9, "USD"), (79.8e6, "USD")]), ("EUR 10 million to EUR 12 million", [(10e6, "EUR"), (12e6, "EUR")]), ("£9 million from CAD 7.8 million and ¥3 billion", [(9e6, "GBP"), (7.8e6, "CAD"), (3e9, "JPY")]),
+     ("in 2023 €5 thousand, in 2022 C$4 thousand", [(5e3, "EUR"), (4e3, "CAD")]), ("$10-$12 million", [(10, "USD"), (12e6, "USD")]), ("$10 and -$12", [(10, "USD"), (-12, "USD")]), ("10 USD\n12 miles", [(10, "USD"), (12 * 1609.344, None)]), ("10-12 miles", [(12 * 1609.344, None)]),
+     ("5 miles (8 km), €5 million ($6 million), $3 ($4)", [(5 * 1609.344, None), (8000, None), (5e6, "EUR"), (6e6, "USD"), (3, "USD"), (-4, "USD")])],
+)
+def test_quantities_side_by_side(text, want):
+    assert [(pytest.approx(q.canonical()), q.unit.currency) for q in units.find_quantities(text)] == want
+
+
 def test_figures_take_the_stated_unit(spark):
     figures = spark.createDataFrame(
         [(1, "f", 2020, 5e6, -5.0, None, "x"), (2, "f", 2020, 5e6, 5000.0, "stmt unit: USD k", "x"), (3, "g", 2020, 2e6, 1000.0, "", "x"), (4, "h", 2020, 1.0, None, None, "x"), (5, "g", 1999, 2e6, 1000.0, "value unit: EUR m", "x"), (6, "h", 2020, 5e6, 5.1, None, "x")],
