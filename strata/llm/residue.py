@@ -1,11 +1,12 @@
 """Template residue and error-page text: records that were never finished or are no content at all.
 
-Lines are counted in normal form by host; a line that recurs in a large part of a host's records is furniture of the host
-and is subtracted. A record is residue if what remains holds an unfilled slot, filler, the message of an error page or a notice that
-scripts or cookies must be allowed. Text that merely speaks of such things doesn't match: the patterns ask for the form such messages
+A record is residue if it holds an unfilled slot, filler, the message of an error page or a notice that scripts or cookies must be
+allowed. With `subtract`, lines are counted in normal form by host before; a line that recurs in a large part of a host's records is
+furniture of the host and is left out of the search, whatever it says: records whose only evidence recurs are then missed. Without, the
+whole text is searched, and the verdict on a record doesn't depend on the others. Text that merely speaks of such things doesn't match: the patterns ask for the form such messages
 take (addressed to the reader, opening a sentence, naming a status), and brackets or braces count only with a slot's content.
 
-Cases: null or empty text holds no evidence. Null host: nothing is subtracted. Equal records get equal verdicts.
+Cases: null or empty text holds no evidence. Null host: nothing is subtracted. Equal records of a host get equal verdicts.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ class ResidueConfig:
     #: a line is furniture of its host in at least this many and this share of the host's records
     min_records: int = 20
     min_share: float = 0.2
+    #: leave furniture out of the search
+    subtract: bool = True
 
 
 _NAME = r"[A-Za-z][\w .\-]{0,40}?"
@@ -174,4 +177,5 @@ def residue(docs: DataFrame, cfg: ResidueConfig = ResidueConfig()) -> DataFrame:
             rows = [(i, *e) for i, t in zip(pdf["id"], pdf["text"]) if (e := evidence(t))]
             yield pd.DataFrame(rows, columns=["id", "kind", "passage"])
 
-    return residual(docs, cfg).where("text is not null").mapInPandas(run, "id bigint, kind string, passage string")
+    searched = residual(docs, cfg) if cfg.subtract else docs.select("id", "text")
+    return searched.where("text is not null").mapInPandas(run, "id bigint, kind string, passage string")

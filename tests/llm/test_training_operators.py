@@ -321,3 +321,13 @@ def test_furniture_is_subtracted(spark):
     df = spark.createDataFrame([(*r, "x") for r in rows], "id bigint, host string, text string, lines string").drop("lines")
     assert sorted(r["id"] for r in residue.residue(df).collect()) == [100, 101, 102]
     assert residue.residue(df.limit(0)).count() == 0
+
+
+def test_recurrent_evidence_is_found(spark, tmp_path):
+    texts = ["Error 404: the page you requested was not found.\nTry again later.", "Real text.\nPlease enable\nJavaScript to view this report.", "Lorem ipsum dolor.\nMenu"]
+    rows = [(100 * k + i, "en", " Host", f"{t}\nOwn text {'ab'[i % 2]}." if k else t, 1) for k, t in enumerate(texts) for i in range(25)] + [(900, "en", "host", "Own text.\nMenu", 1), (901, "en", None, None, 0)]
+    spark.createDataFrame(rows, "doc_id bigint, lang string, source string, text string, n_chars bigint").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    cases = sorted(r[0] for r in rows if r[0] < 900)
+    for name in ("p8_found", "p8_evidence"):
+        assert sorted(r["doc_id"] for r in queries.QUERIES[name](spark, str(tmp_path)).collect()) == cases
+    assert sorted(r["doc_id"] for r in queries.p8_kept(spark, str(tmp_path)).collect()) == [900, 901]
