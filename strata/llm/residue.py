@@ -89,14 +89,14 @@ def _compile(parts: list[str]) -> re.Pattern:
     return re.compile("|".join(f"(?:{p})" for p in parts), re.IGNORECASE)
 
 
-#: (kind, pattern, pieces of lower-case text of which one must be there for the pattern to match): most records need no pattern at all.
+#: (kind, pattern, pieces of lower-case text with single blanks of which one must be there for the pattern to match): most records need no pattern at all.
 PATTERNS: list[tuple[str, re.Pattern, tuple[str, ...]]] = [
-    ("slot", _compile(_SLOTS), ("{", "<", "«", "[", "%%", "%(", "@@", "__", "&lt;", "xx", "(insert ", "(fill in ", "(enter ", "(add ", "(type ", "(specify ", "(supply ")),
+    ("slot", _compile(_SLOTS), ("{", "<", "«", "[", "%%", "%(", "@@", "__", "&lt;", "xx", *(f"({blank}{verb} " for verb in ("insert", "fill in", "enter", "add", "type", "specify", "supply") for blank in ("", " ")))),
     ("filler", _compile(_FILLER), (
-        "lorem", "dummy", "placeholder", "filler", " here", "in this box", "in this space", "in this field", "sample", "example", "replace this", "coming soon", "stub created", "todo", "xx", "asdf",
+        "lorem", "dummy", "placeholder", "filler", "here", "in this box", "in this space", "in this field", "sample", "example", "replace this", "coming soon", "stub created", "todo", "xx", "asdf",
         "votre texte", "remplacer", "hier steht", "ersetzen", "aquí", "ejemplo", "exemple", "blindtext", "beispieltext")),
     ("error", _compile(_ERROR), (
-        "http", "error", "erreur", "fehler", "not found", "forbidden", "bad request", "unauthor", "sign-in", "sign in", "login", "timed out", "timeout", "time-out", "gone", "too many requests", "server", "gateway", "unavailable",
+        "http", "status", "error", "erreur", "fehler", "not found", "forbidden", "bad request", "unauthor", "sign-in", "signin", "sign in", "login", "timed out", "timeout", "time-out", "gone", "too many requests", "server", "gateway", "unavailable",
         "denied", "expired", "expiré", "blocked", "encontrad", "introuvable", "non trouv", "gefunden", "you requested", "you asked for", "looking for", "couldn't ", "couldn’t ", "could not ", "cannot find", "cannot show", "cannot open", "cannot load", "cannot display", "can't ", "can’t ", "unable to", "is broken", "removed", "no longer",
         "your access", "you are not", "permission", "caducado", "expirado", "abgelaufen", "unexpected", "went wrong", "took too long", "database", "upstream", "maintenance", "try again", "refusé", "denegado", "verweigert", "interne", "interno", "too large", "not allowed")),
     ("script", _compile(_SCRIPT), ("script", "js", "cookie", "skript", "nothing appears", "checking your")),
@@ -133,7 +133,7 @@ def evidence(text: str | None) -> tuple[str, str] | None:
         return None
     # pieces may be spread over wrapped lines
     both = views(text)
-    low = both[1].lower()
+    low = " ".join(both[1].lower().split())
     live = [(kind, pattern) for kind, pattern, pieces in PATTERNS if any(p in low for p in pieces)]
     if (found := _repeated(low)) is not None:
         return "filler", found[:200]

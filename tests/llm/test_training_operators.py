@@ -315,6 +315,44 @@ def test_evidence():
     assert [(t, residue.evidence(t)) for t in FINE if residue.evidence(t)] == []
 
 
+def sample(rnd, tree):
+    """A text of a parsed pattern; looking around is left out."""
+    c, out = re._constants, []
+    for op, a in tree:
+        if op is c.LITERAL:
+            out.append(chr(a))
+        elif op in (c.NOT_LITERAL, c.ANY):
+            out.append("q")
+        elif op is c.IN:
+            kind, v = rnd.choice([x for x in a if x[0] is not c.NEGATE])
+            out.append("q" if a[0][0] is c.NEGATE else chr(v) if kind is c.LITERAL else chr(rnd.randint(*v)) if kind is c.RANGE else {c.CATEGORY_DIGIT: "4", c.CATEGORY_SPACE: " "}.get(v, "q"))
+        elif op is c.BRANCH:
+            out.append(sample(rnd, rnd.choice(a[1])))
+        elif op is c.SUBPATTERN:
+            out.append(sample(rnd, a[3]))
+        elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
+            out += [sample(rnd, a[2]) for _ in range(rnd.randint(a[0], min(a[1], a[0] + 2)))]
+    return "".join(out)
+
+
+@pytest.mark.parametrize("kind", range(len(residue.PATTERNS)))
+def test_every_form_holds_a_piece(kind):
+    rnd = random.Random(kind)
+    name, pattern, pieces = residue.PATTERNS[kind]
+    seen, without = 0, set()
+    for part in getattr(residue, {"slot": "_SLOTS", "filler": "_FILLER", "error": "_ERROR", "script": "_SCRIPT"}[name]):
+        texts = [residue.views(sample(rnd, re._parser.parse(part, re.IGNORECASE)))[1] for _ in range(400)]
+        texts = [t for t in texts if re.search(part, t, re.IGNORECASE)]
+        seen += bool(texts)
+        without |= {t for t in texts if not any(p in " ".join(t.lower().split()) for p in pieces)}
+    assert without == set() and seen > 10
+
+
+@pytest.mark.parametrize("text", ["Status: 503", "Status 404.", "Made on ( insert date ).", "Made on (  fill in date).", "401 signin required", "Put your text (here)."])
+def test_pieces_let_pass(text):
+    assert residue.evidence(text) is not None
+
+
 def test_furniture_is_subtracted(spark):
     banner = "Please enable JavaScript for the menu."
     rows = [(i, "h", f"Own text {i}.\n{banner}") for i in range(30)] + [(100, "h", "Error 404"), (101, "other", f"Text.\n{banner}"), (102, None, f"Text.\n{banner}"), (103, "h", None), (104, "h", "")]
