@@ -31,13 +31,18 @@ class ResidueConfig:
     subtract: bool = True
 
 
-_NAME = r"[A-Za-z][\w .\-]{0,40}?"
+#: a slot ends in its paragraph; paragraphs are parted by an empty line, two blanks once lines are joined
+_SAME = r"(?!\n\n|  )"
+_NAME = rf"[A-Za-z](?:{_SAME}[\w .\-])*?"
+_INSERT = r"[\[(]\s*(?:insert|fill in|enter|add|type|specify|supply)\s"
 _SLOTS = [
-    rf"\{{\{{\s*{_NAME}\s*\}}\}}", rf"\{{%-?\s*{_NAME}\s*-?%\}}", rf"<%=?\s*{_NAME}\s*%>", rf"[$#]\{{\s*{_NAME}\s*\}}",
+    # any expression, but no set of sets ('{{1, 2}, {3}}')
+    rf"\{{\{{(?!\s*\w+\s*,)(?=[^{{}}]*\w)(?:{_SAME}(?:[^{{}}]|\{{(?:{_SAME}[^{{}}])*\}}))+\}}\}}", rf"\{{%(?![^\w%]*%\}})(?:{_SAME}(?!%\}}|\{{%)[\s\S])+%\}}", rf"<%(?![^\w%]*%>)(?:{_SAME}(?!%>|<%)[\s\S])+%>",
+    rf"[$#]\{{\s*{_NAME}\s*\}}",
     r"%\([A-Za-z]\w*\)[sdf]\b", r"%%[A-Za-z][\w ]*%%", r"@@[A-Za-z][\w ]*@@", r"(?<![A-Za-z0-9])__[A-Za-z][A-Za-z0-9_]*?__(?![A-Za-z0-9])",
-    rf"<<\s*{_NAME}\s*>>", rf"«{_NAME}»", rf"\[\[\s*{_NAME}\s*\]\]", r"&lt;\s*[a-z][a-z _]{1,40}\s*&gt;",
-    r"<[A-Za-z][A-Za-z ]{1,40}\shere>",
-    r"[\[(]\s*(?:insert|fill in|enter|add|type|specify|supply)\s[^\])]{1,60}[\])]", r"\[[^\][]{1,40}\sto\s(?:come|follow|be (?:added|confirmed|determined|supplied))\]",
+    rf"<<\s*{_NAME}\s*>>", rf"«{_NAME}»", rf"\[\[\s*{_NAME}\s*\]\]", rf"&lt;\s*[a-z](?:{_SAME}[a-z _])+\s*&gt;",
+    rf"<[A-Za-z](?:{_SAME}[A-Za-z ])+\shere>",
+    rf"{_INSERT}(?:{_SAME}(?!{_INSERT})[^\])])+[\])]", rf"\[(?:{_SAME}[^\][])+\sto\s(?:come|follow|be (?:added|confirmed|determined|supplied))\]",
     r"\[\s*(?:tbd|tba|tbc|tk|todo|to be determined|n\.?n\.?|x{2,}|[●•∙·]|_{2,}|\.{3,}|…)\s*\]", r"\$\s?\[\s*_*\s*\]",
     r"\bx{2}[/.-]x{2}[/.-](?:x{2,4}|\d\dx\dx?|\d\dxx)\b", r"\b(?:19|20)xx\b",
 ]
@@ -102,6 +107,8 @@ PATTERNS: list[tuple[str, re.Pattern, tuple[str, ...]]] = [
     ("script", _compile(_SCRIPT), ("script", "js", "cookie", "skript", "nothing appears", "checking your")),
 ]
 _REPEAT = _compile([_REPEATS[0]]), _compile([_REPEATS[1]])
+#: the piece 'here' counts as a word only ('there' and 'where' are in most texts)
+_HERE = re.compile(r"\bhere\b")
 _BREAK = re.compile(r"[ \t\r]*\n[ \t]*(?:>+[ \t]*)?")
 
 
@@ -134,7 +141,7 @@ def evidence(text: str | None) -> tuple[str, str] | None:
     # pieces may be spread over wrapped lines
     both = views(text)
     low = " ".join(both[1].lower().split())
-    live = [(kind, pattern) for kind, pattern, pieces in PATTERNS if any(p in low for p in pieces)]
+    live = [(kind, pattern) for kind, pattern, pieces in PATTERNS if any(p in low and (p != "here" or _HERE.search(low)) for p in pieces)]
     if (found := _repeated(low)) is not None:
         return "filler", found[:200]
     if live:

@@ -353,6 +353,22 @@ def test_pieces_let_pass(text):
     assert residue.evidence(text) is not None
 
 
+LONG = "the full legal name of the registrant as it stands in the charter\nfollowed by the state and the date of the last amendment"
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["Total {{ total|round }}.", "{{ x | default('none') }} paid", "{{1}} paid", "{% if x == 'a' %} yes", "<%= total.round(2) %> paid", f"Paid by [insert {LONG}].", f"Paid by (fill in {LONG}).", f"[{LONG} to be confirmed]", *(f"Paid by {a}{LONG}{z}." for a, z in (("{{ ", " }}"), ("{% ", "%}"), ("${", "}"), ("<<", ">>"), ("«", "»"), ("[[", "]]"), ("&lt;", "&gt;"))), f"<{LONG} here>"],
+)
+def test_slots_of_any_length_and_expression(text):
+    assert residue.evidence(text)[0] == "slot"
+
+
+@pytest.mark.parametrize("text", ["The sets {{1, 2}, {3}} and {{a, b}, {c}} are shown.", "{{ }} is empty.", "<% %> is empty.", "He wrote [insert of the\n\nnext paragraph] here.", "{{ open\n\nnext }} paragraph", "<<open\n\nnext>> paragraph", '{"a": {"b": {"c": 1}}}'])
+def test_slots_end_in_their_paragraph(text):
+    assert residue.evidence(text) is None
+
+
 def test_furniture_is_subtracted(spark):
     banner = "Please enable JavaScript for the menu."
     rows = [(i, "h", f"Own text {i}.\n{banner}") for i in range(30)] + [(100, "h", "Error 404"), (101, "other", f"Text.\n{banner}"), (102, None, f"Text.\n{banner}"), (103, "h", None), (104, "h", "")]
