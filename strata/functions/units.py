@@ -29,16 +29,19 @@ class Unit:
     dims: Vector = _ZERO
     offset: float = 0.0
     currency: str | None = None
+    #: the currency of money below the line ('per euro')
+    below: str | None = None
 
     def times(self, other: Unit, sign: int = 1) -> Unit:
         dims = tuple(a + sign * b for a, b in zip(self.dims, other.dims))
-        return Unit(self.factor * other.factor**sign, dims, 0.0, self.currency or (other.currency if sign > 0 else None))
+        above, below = (self.currency or other.currency, self.below) if sign > 0 else (self.currency, self.below or other.currency)
+        return Unit(self.factor * other.factor**sign, dims, 0.0, above, below)
 
     def power(self, n: int) -> Unit:
-        return Unit(self.factor**n, tuple(d * n for d in self.dims), 0.0, self.currency)
+        return Unit(self.factor**n, tuple(d * n for d in self.dims), 0.0, self.currency, self.below)
 
     def scaled(self, by: float) -> Unit:
-        return Unit(self.factor * by, self.dims, self.offset / by if by else 0.0, self.currency)
+        return Unit(self.factor * by, self.dims, self.offset / by if by else 0.0, self.currency, self.below)
 
 
 def _dim(**exponents: int) -> Vector:
@@ -52,6 +55,20 @@ KINDS: dict[Vector, tuple[str, str]] = {
     MONEY: ("money", "USD"), LENGTH: ("length", "m"), AREA: ("area", "m2"), VOLUME: ("volume", "m3"), MASS: ("mass", "kg"),
     TIME: ("time", "s"), TEMPERATURE: ("temperature", "K"), ENERGY: ("energy", "J"), POWER: ("power", "W"),
 }
+_BASE = ("USD", "m", "kg", "s", "K")
+
+
+def kind_and_unit(dims: Vector) -> tuple[str, str]:
+    """The name and canonical unit of a kind of quantity; beyond KINDS spelled from the exponents: ('length/time', 'm/s')."""
+    if dims in KINDS:
+        return KINDS[dims]
+
+    def spelled(names: tuple[str, ...], one: str) -> str:
+        above = ["*".join(f"{n}{abs(d) if abs(d) > 1 else ''}" for n, d in zip(names, dims) if d * sign > 0) for sign in (1, -1)]
+        return (above[0] or "1") + (f"/{above[1]}" if above[1] else "") if any(dims) else one
+
+    return spelled(DIMENSIONS, "ratio"), spelled(_BASE, "1")
+
 
 SCALES = {
     "hundred": 1e2, "hundreds": 1e2, "thousand": 1e3, "thousands": 1e3, "'000": 1e3, "'000s": 1e3, "000": 1e3, "000s": 1e3, "k": 1e3,
@@ -191,15 +208,19 @@ class _Parser:
                 factor, scaled = factor * s, True
         if self.peek() == "," and self.peek(1) == "not" and self.peek(2) == "scaled":
             self.at += 3
+        return self.quotient(term).scaled(factor)
+
+    def quotient(self, unit: Unit) -> Unit:
+        """The unit over what follows as 'per term' or '/ term'."""
         while self.peek() in ("per", "/"):
             mark = self.at
             self.at += 1
             below = self.term()
-            if below is None:
+            if below is None or (below.currency and unit.below):
                 self.at = mark
                 break
-            term = term.times(below, -1)
-        return term.scaled(factor)
+            unit = unit.times(below, -1)
+        return unit
 
 
 @lru_cache(maxsize=100_000)
@@ -250,7 +271,7 @@ class Quantity:
 
     @property
     def kind(self) -> str:
-        return KINDS[self.unit.dims][0]
+        return kind_and_unit(self.unit.dims)[0]
 
     def canonical(self) -> float:
         """In SI base units, or in the currency."""
@@ -273,12 +294,14 @@ def find_quantities(text: str) -> list[Quantity]:
             unit = Unit(1.0, MONEY, 0.0, CURRENCIES[currency.lower()])
             tokens = _tokens(rest)
             p = _Parser(tokens, 0, True)
-            if tokens and not rest[: tokens[0][1]].strip("  ") and (s := p.scale(tight=True)) is not None:
-                unit = unit.scaled(s)
-                end += tokens[p.at - 1][2]
+            if tokens and not rest[: tokens[0][1]].strip("  "):
+                if (s := p.scale(tight=True)) is not None:
+                    unit = unit.scaled(s)
+                unit = p.quotient(unit)
+                end += tokens[p.at - 1][2] if p.at else 0
         else:
             got = parse_unit(rest)
-            if got is None or got[0].dims not in KINDS:
+            if got is None:
                 continue
             unit, read = got
             word = rest[:read].strip().lower()

@@ -411,6 +411,15 @@ def test_quantities_side_by_side(text, want):
     assert [(pytest.approx(q.canonical()), q.unit.currency) for q in units.find_quantities(text)] == want
 
 
+def test_amounts_of_any_kind(spark):
+    texts = ["12 miles per hour", "5 dollars per barrel", "$5 per barrel", "€2 million/km", "10,000 barrels per day", "$6 per euro", "8 hours per day", "$5 per share", "3 acres"]
+    rates = spark.createDataFrame([("EUR", 2020, 2.0)], "currency string, year int, usd_per_unit double")
+    got = quantities.amounts_in_texts(spark.createDataFrame([(i, 2020, t) for i, t in enumerate(texts)], "record_id bigint, year int, text string"), rates).collect()
+    barrel = 0.158987294928
+    want = [(12 * 1609.344 / 3600, "length/time", "m/s"), (5 / barrel, "money/length3", "USD/m3"), (5 / barrel, "money/length3", "USD/m3"), (4000, "money/length", "USD/m"), (1e4 * barrel / 86400, "length3/time", "m3/s"), (3, "ratio", "1"), (1 / 3, "ratio", "1"), (5, "money", "USD"), (3 * 4046.8564224, "area", "m2")]
+    assert [(pytest.approx(r["amount"]), r["kind"], r["unit"]) for r in sorted(got, key=lambda r: r["record_id"])] == want
+
+
 def test_figures_take_the_stated_unit(spark):
     figures = spark.createDataFrame(
         [(1, "f", 2020, 5e6, -5.0, None, "x"), (2, "f", 2020, 5e6, 5000.0, "stmt unit: USD k", "x"), (3, "g", 2020, 2e6, 1000.0, "", "x"), (4, "h", 2020, 1.0, None, None, "x"), (5, "g", 1999, 2e6, 1000.0, "value unit: EUR m", "x"), (6, "h", 2020, 5e6, 5.1, None, "x")],
