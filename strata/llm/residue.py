@@ -1,10 +1,13 @@
 """Template residue and error-page text: records that were never finished or are no content at all.
 
 A record is residue if it holds an unfilled slot, filler, the message of an error page or a notice that scripts or cookies must be
-allowed. With `subtract`, lines are counted in normal form by host before; a line that recurs in a large part of a host's records is
-furniture of the host and is left out of the search, whatever it says: records whose only evidence recurs are then missed. Without, the
-whole text is searched, and the verdict on a record doesn't depend on the others. Text that merely speaks of such things doesn't match: the patterns ask for the form such messages
+allowed. Lines are counted in normal form by host. A line that recurs in a large part of a host's records is furniture of the host and
+is subtracted: what is left, the residual, is searched record by record. What was subtracted is searched too, but as a text of its own and once for
+all records that hold the same furniture, since an error page or a notice is evidence however often it recurs. So recurrence moves work
+and keeps furniture and own text from being read as one sentence; it never hides evidence, and the
+verdict on a record doesn't depend on how many others there are. Text that merely speaks of such things doesn't match: the patterns ask for the form such messages
 take (addressed to the reader, opening a sentence, naming a status), and brackets or braces count only with a slot's content.
+Filler in made-up words is told by its form: a long run of words without one function word of any listed language, drawn from few words.
 
 Cases: null or empty text holds no evidence. Null host: nothing is subtracted. Equal records of a host get equal verdicts.
 """
@@ -14,12 +17,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.session import small_side
+from strata.session import cut, small_side
 
 
 @dataclass(frozen=True)
@@ -27,8 +31,6 @@ class ResidueConfig:
     #: a line is furniture of its host in at least this many and this share of the host's records
     min_records: int = 20
     min_share: float = 0.2
-    #: leave furniture out of the search
-    subtract: bool = True
 
 
 #: a slot ends in its paragraph; paragraphs are parted by an empty line, two blanks once lines are joined
@@ -107,6 +109,16 @@ PATTERNS: list[tuple[str, re.Pattern, tuple[str, ...]]] = [
     ("script", _compile(_SCRIPT), ("script", "js", "cookie", "skript", "nothing appears", "checking your")),
 ]
 _REPEAT = _compile([_REPEATS[0]]), _compile([_REPEATS[1]])
+#: the commonest articles, prepositions, conjunctions, pronouns and auxiliaries of English, French, German, Spanish, Italian, Portuguese and Dutch
+_FUNCTION_WORDS = frozenset((
+    "a an the of to in on at by for from with as and or but if that this which it its we our they their is are was were be been has have had not no than "
+    "le la les un une des du de et ou en au aux par pour sur dans avec que qui est sont ne pas se sa son ses nous nos "
+    "der die das den dem ein eine einen einer und oder von vom zu zum zur mit auf bei für im am als auch ist sind war nicht sich wir unser unsere "
+    "el los las una y o del al con por para su sus es son no se lo como más nuestro nuestra nuestros "
+    "il gli di e che per non i lo alla della sono ha um os uma do da dos das em não ao het een van op te dat voor"
+).split())
+MADE_UP_WORDS, MADE_UP_VARIETY = 12, 0.8
+_POINTS = str.maketrans(dict.fromkeys(".,;:!?", " "))
 #: the piece 'here' counts as a word only ('there' and 'where' are in most texts)
 _HERE = re.compile(r"\bhere\b")
 _BREAK = re.compile(r"[ \t\r]*\n[ \t]*(?:>+[ \t]*)?")
@@ -134,6 +146,16 @@ def _repeated(low: str) -> str | None:
     return None
 
 
+def _made_up(low: str) -> str | None:
+    """A run of at least MADE_UP_WORDS words, none of them a function word and at most MADE_UP_VARIETY of them different."""
+    words = low.translate(_POINTS).split()
+    ends = [i for i, w in enumerate(words) if w in _FUNCTION_WORDS or not w.isalpha()]
+    for first, end in zip([-1, *ends], [*ends, len(words)]):
+        if end - first > MADE_UP_WORDS and len(set(run := words[first + 1 : end])) <= MADE_UP_VARIETY * len(run):
+            return " ".join(run)
+    return None
+
+
 def evidence(text: str | None) -> tuple[str, str] | None:
     """(kind, matching passage) of the first evidence found, else None."""
     if not text:
@@ -142,7 +164,7 @@ def evidence(text: str | None) -> tuple[str, str] | None:
     both = views(text)
     low = " ".join(both[1].lower().split())
     live = [(kind, pattern) for kind, pattern, pieces in PATTERNS if any(p in low and (p != "here" or _HERE.search(low)) for p in pieces)]
-    if (found := _repeated(low)) is not None:
+    if (found := _repeated(low) or _made_up(low)) is not None:
         return "filler", found[:200]
     if live:
         for view in dict.fromkeys(both):
@@ -161,28 +183,37 @@ def _forms(text: Column) -> Column:
 def furniture(docs: DataFrame, cfg: ResidueConfig = ResidueConfig()) -> DataFrame:
     """(host, lines): identifiers of the lines that recur through a host; at most 1 / min_share times the lines of a record each."""
     known = docs.where("host is not null and text is not null")
+    lines = known.select("host", F.explode(F.array_distinct(_forms(F.col("text")))).alias("line")).groupBy("host", "line").agg(F.count("*").alias("k")).where(F.col("k") >= cfg.min_records)
     sizes = known.groupBy("host").agg(F.count("*").alias("n"))
-    lines = known.select("host", F.explode(F.array_distinct(_forms(F.col("text")))).alias("line")).groupBy("host", "line").agg(F.count("*").alias("k"))
-    often = lines.where(F.col("k") >= cfg.min_records).join(sizes, "host").where(F.col("k") >= cfg.min_share * F.col("n"))
+    often = lines.join(sizes, "host").where(F.col("k") >= cfg.min_share * F.col("n"))
     return often.groupBy("host").agg(F.collect_set("line").alias("lines"))
 
 
 def residual(docs: DataFrame, cfg: ResidueConfig = ResidueConfig()) -> DataFrame:
-    """(id, text): the records without their host's furniture."""
-    known = docs.join(small_side(furniture(docs, cfg)), "host", "left")
+    """(id, text, recurring): the records without their host's furniture, and the furniture they hold (null: none).
+
+    Blank lines are never furniture. A furniture line next to a line of the record's own stays in the text as well, since both may be one wrapped sentence.
+    """
+    known = docs.join(small_side(cut(furniture(docs, cfg))), "host", "left")
     # lines and forms are zipped, so that the forms of a text are made once and not once for each of its lines
     zipped = F.arrays_zip(F.split("text", "\n", -1).alias("line"), _forms(F.col("text")).alias("form"))
-    kept = F.transform(F.filter(zipped, lambda s: ~F.array_contains("lines", s["form"])), lambda s: s["line"])
-    return known.select("id", F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))
+    marked = F.transform(zipped, lambda s: F.struct(s["line"].alias("line"), (F.trim(s["line"]) == "").alias("blank"), F.array_contains("lines", s["form"]).alias("often")))
+    own = lambda x: ~x["blank"] & ~x["often"]
+    beside = lambda i: F.coalesce(own(F.get("_l", i)), F.lit(False))
+    kept = F.filter("_l", lambda x, i: x["blank"] | ~x["often"] | beside(i - 1) | beside(i + 1))
+    gone = F.filter("_l", lambda x: ~x["blank"] & x["often"])
+    text_of = lambda a: F.array_join(F.transform(a, lambda x: x["line"]), "\n")
+    lined = known.select("id", "text", F.when(F.col("lines").isNotNull(), marked).alias("_l"))
+    return lined.select("id", F.when(F.col("_l").isNull(), F.col("text")).otherwise(text_of(kept)).alias("text"), F.when(F.size(gone) > 0, text_of(gone)).alias("recurring"))
 
 
 def residue(docs: DataFrame, cfg: ResidueConfig = ResidueConfig()) -> DataFrame:
     """(id, kind, passage) of the records of (id, host, text) that hold evidence."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judged = lru_cache(maxsize=10_000)(evidence)
         for pdf in it:
-            rows = [(i, *e) for i, t in zip(pdf["id"], pdf["text"]) if (e := evidence(t))]
+            rows = [(i, *e) for i, t, r in zip(pdf["id"], pdf["text"], pdf["recurring"]) if (e := evidence(t) or judged(r))]
             yield pd.DataFrame(rows, columns=["id", "kind", "passage"])
 
-    searched = residual(docs, cfg) if cfg.subtract else docs.select("id", "text")
-    return searched.where("text is not null").mapInPandas(run, "id bigint, kind string, passage string")
+    return residual(docs, cfg).where("text is not null").mapInPandas(run, "id bigint, kind string, passage string")

@@ -369,12 +369,31 @@ def test_slots_end_in_their_paragraph(text):
     assert residue.evidence(text) is None
 
 
-def test_furniture_is_subtracted(spark):
+def test_furniture_is_judged_once_and_never_hides_evidence(spark):
     banner = "Please enable JavaScript for the menu."
-    rows = [(i, "h", f"Own text {i}.\n{banner}") for i in range(30)] + [(100, "h", "Error 404"), (101, "other", f"Text.\n{banner}"), (102, None, f"Text.\n{banner}"), (103, "h", None), (104, "h", "")]
+    rows = [(i, "h", f"Own text {'ab'[i % 2]}.\n\n{banner}") for i in range(30)] + [(100, "h", "Error 404"), (101, "other", f"Text.\n{banner}"), (102, None, f"Text.\n{banner}"), (103, "h", None), (104, "h", "")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "id bigint, host string, text string, lines string").drop("lines")
-    assert sorted(r["id"] for r in residue.residue(df).collect()) == [100, 101, 102]
+    assert sorted(r["id"] for r in residue.residue(df).collect()) == [*range(30), 100, 101, 102]
     assert residue.residue(df.limit(0)).count() == 0
+    parts = {r["id"]: (r["text"], r["recurring"]) for r in residue.residual(df).collect()}
+    assert parts[0] == ("Own text a.\n", banner) and parts[101] == (f"Text.\n{banner}", None) and parts[103] == (None, None)
+
+
+def test_error_pages_of_one_host(spark):
+    rows = [(i, "h", "404 Not Found" if i < 30 else f"The mills of {chr(97 + i % 26) * 3}{i} were sold.") for i in range(100)]
+    assert sorted(r["id"] for r in residue.residue(spark.createDataFrame(rows, "id bigint, host string, text string")).collect()) == list(range(30))
+
+
+def test_own_lines_beside_furniture_stay(spark):
+    rows = [(i, "h", f"Visit number {chr(97 + i)} here\nfor the menu\n\nfoot") for i in range(20)] + [(50, "h", "foot\n\nfor the menu")]
+    parts = {r["id"]: (r["text"], r["recurring"]) for r in residue.residual(spark.createDataFrame(rows, "id bigint, host string, text string")).collect()}
+    assert parts[0] == ("Visit number a here\nfor the menu\n", "for the menu\nfoot") and parts[50] == ("", "foot\nfor the menu")
+
+
+def test_made_up_filler():
+    assert residue.evidence("Real text of the year.\n\nVelo mardit sora tempel. Sora velo quin mardit tempel velo. Quin sora mardit.")[0] == "filler"
+    names = "Board: Anna Berg, Carl Dunn, Elsa Falk, Gus Holm, Ida Jung, Karl Lund, Mia Noor, Otto Palm"
+    assert residue.evidence(names) is None and residue.evidence("Revenue 12 income 4 revenue 13 income 5 " * 9) is None
 
 
 def test_recurrent_evidence_is_found(spark, tmp_path):
