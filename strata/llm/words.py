@@ -37,7 +37,8 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 _POW = {"up": _powers(_BASE, 1), "down": _powers(_INV, 1)}
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base, and of its inverse."""
     if len(_POW["up"]) < n:
         size = max(n, 1 << 16)
         _POW["up"], _POW["down"] = _powers(_BASE, size), _powers(_INV, size)
@@ -67,7 +68,7 @@ def word_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
     inside = np.concatenate(([False], _WORD[buf], [False]))
     step = np.diff(inside.astype(np.int8))
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    up, down = _tables(len(buf) + 1)
+    up, down = powers(len(buf) + 1)
     pre = np.zeros(len(buf) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[buf] * up[: len(buf)], out=pre[1:])
     hashes = mix64((pre[ends] - pre[starts]) * down[starts] + (ends - starts).astype(np.uint64))

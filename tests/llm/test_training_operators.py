@@ -103,6 +103,51 @@ def test_suffix_array_is_sorted():
         assert all(lcp[k] == common(tail(order[k - 1]), tail(order[k])) for k in range(1, len(s)))
 
 
+def test_intervals_count_records_once():
+    rnd = random.Random(7)
+    for _ in range(60):
+        docs = [[rnd.choice([1, 2, 3]) for _ in range(rnd.randint(0, 7))] for _ in range(rnd.randint(1, 8))]
+        shard = repeated_lines._Shard(np.arange(len(docs)), [np.array(d, dtype=np.int64) for d in docs])
+        order, lcp = repeated_lines.suffix_array(shard.symbols)
+        got = repeated_lines.intervals(lcp, shard.owner[order])
+        spread: dict[tuple, list] = {}
+        for r, d in enumerate(docs):
+            for i in range(len(d)):
+                for j in range(i + 1, len(d) + 1):
+                    spread.setdefault(tuple(d[i:j]), []).append(r)
+        seen = {tuple(shard.symbols[order[f] : order[f] + h]): (l - f + 1, n) for h, f, l, n in zip(got.depth, got.first, got.last, got.records)}
+        assert len(seen) == len(got.depth) and all(seen[b] == (len(spread[b]), len(set(spread[b]))) for b in seen)
+        # blocks that can be followed by different lines are just the intervals
+        branching = {b for b, at in spread.items() if len(at) > 1 and not any(len(spread.get((*b, x), ())) == len(at) for x in (1, 2, 3))}
+        assert branching == set(seen)
+        assert all(p < 0 or (got.depth[p] < got.depth[k] and got.first[p] <= got.first[k] <= got.last[k] <= got.last[p]) for k, p in enumerate(got.parent))
+
+
+@pytest.mark.parametrize("shard", [200_000, 30])
+def test_maximal_blocks_equal_brute_force(spark, shard):
+    rnd = random.Random(5)
+    name = lambda k: f"Standing line {'abcdefgh'[k]} of the printed notice"
+    rows = [(i, "A", "\n".join([f"Own {chr(97 + i % 26)}{chr(97 + i // 26)} words of this very record", *[name(k) for k in rnd.choice([(0, 1, 2), (1, 2), (3,), (0, 1, 2, 3), (4, 5), (5,)])]])) for i in range(90)]
+    got = repeated_lines.repeated_lines(spark.createDataFrame(rows, "record bigint, source string, text string"), repeated_lines.RepeatedLinesConfig(shard_lines=shard)).maximal().collect()
+    spread: dict[tuple, set] = {}
+    for r, _, t in rows:
+        parts = t.split("\n")
+        for i in range(len(parts)):
+            for j in range(i + 1, len(parts) + 1):
+                spread.setdefault(tuple(parts[i:j]), set()).add(r)
+    often = {b: len(s) for b, s in spread.items() if len(s) >= 6}
+    text = {r: t.split("\n") for r, _, t in rows}
+    want = {b: n for b, n in often.items() if not any(len(c) == len(b) + 1 and b in (c[1:], c[:-1]) for c in often)}
+    assert {tuple(text[r["record"]][r["line"] : r["line"] + r["lines"]]): r["records"] for r in got} == want and len(got) == len(want)
+
+
+def test_copies_of_a_long_record(spark):
+    body = "\n".join(f"Line {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} of a long copied record" for i in range(3000))
+    found = repeated_lines.repeated_lines(spark.createDataFrame([(i, "A", body) for i in range(8)], "record bigint, source string, text string"))
+    assert found.occurrences().count() == 8 * 3000
+    assert [(r["lines"], r["records"], r["line"]) for r in found.maximal().collect()] == [(3000, 8, 0)]
+
+
 def test_lines_of_nothing(spark):
     df = spark.createDataFrame([], "record bigint, source string, text string")
     found = repeated_lines.repeated_lines(df)
