@@ -89,6 +89,12 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mixture(spark, sf).shares
 
 
+def p7_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """What each source is to give of 4,000,000 characters, and what it lacks: the plan with sizes in characters, which SQL can check."""
+    docs = table(spark, sf, "documents").select(F.lower(F.trim("source")).alias("source"), F.length("text").cast("bigint").alias("tokens")).where("source <> '' and tokens > 0")
+    return mixing.wanted_tokens(docs, table(spark, sf, "mix_target"), mixing.MixConfig(total_tokens=4_000_000)).drop("target_share")
+
+
 def _hosted(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lower(F.trim("source")).alias("host"), "text")
 
@@ -118,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_report": p6_report,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
+    "p7_plan": p7_plan,
     "p8_found": p8_found,
     "p8_evidence": p8_evidence,
     "p8_kept": p8_kept,
@@ -147,6 +154,13 @@ SQL: dict[str, str] = {
         list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END AS text
     FROM ingest LEFT JOIN gone USING (record_id)""",
     "p2_found": r"""SELECT section_id FROM filing_section WHERE length(trim(text, chr(32) || chr(9) || chr(13) || chr(10))) > 2000""",
+    "p7_plan": r"""
+    WITH have AS (SELECT lower(trim(source, ' ')) AS source, count(*) AS documents, sum(length(text)) AS available FROM documents WHERE length(text) > 0 GROUP BY ALL),
+    due AS (
+        SELECT t.source, max_repeats, coalesce(documents, 0) AS documents, CAST(coalesce(available, 0) AS BIGINT) AS available,
+               CAST(floor(4000000.0::DOUBLE * target_share / (SELECT sum(target_share) FROM mix_target)) AS BIGINT) AS due
+        FROM mix_target t LEFT JOIN have USING (source))
+    SELECT source, max_repeats, documents, available, least(due, available * max_repeats) AS wanted, greatest(due - available * max_repeats, 0) AS short FROM due""",
     "p6_found": r"""
     WITH words AS (
         SELECT id, regexp_extract_all(lower(t), '[a-z0-9]+') AS w

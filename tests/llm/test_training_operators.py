@@ -312,7 +312,7 @@ def test_mixture_meets_its_shares(spark):
     docs += [(5000, None, "x"), (5001, "big", None), (5002, "big", ""), (5003, "none", "x y"), (5004, "  ", "x")]
     targets = spark.createDataFrame([("big", 0.2, 1), ("small", 0.7, 3), ("absent", 0.1, 2)], "source string, target_share double, max_repeats int")
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id bigint, source string, text string, tokens int")
-    mix = mixing.mix(df, targets, mixing.MixConfig(block_tokens=256, buckets=8, slot_chunk=16))
+    mix = mixing.mix(df, targets, mixing.MixConfig(block_tokens=256, bucket_documents=100, slot_chunk=16, exact=True))
     slots, shares = mix.slots.collect(), {r["source"]: r for r in mix.shares.collect()}
     assert set(shares) == {"big", "small", "absent"} and shares["absent"]["tokens"] == 0
     assert abs(shares["small"]["actual_share"] - 7 / 9) < 0.01 and abs(shares["big"]["actual_share"] - 2 / 9) < 0.01
@@ -331,6 +331,36 @@ def test_mixture_beyond_what_there_is(spark):
     targets = spark.createDataFrame([("a", 0.9, 2), ("b", 0.1, 1)], "source string, target_share double, max_repeats int")
     shares = {r["source"]: r for r in mixing.mix(docs, targets, mixing.MixConfig(total_tokens=1000)).shares.collect()}
     assert shares["a"]["uses"] == 6 and shares["b"]["uses"] == 3 and shares["a"]["repeats"] == 2
+    assert shares["a"]["wanted"] == shares["a"]["tokens"] == 24 and shares["a"]["short"] == 900 - 24 and shares["b"]["short"] == 100 - 12
+
+
+@TOKENIZER
+def test_default_size_and_shortage(spark, duck):
+    """One target source is scarce: the others keep their share of the budget, the scarce one gives all it may, and the report says so."""
+    rnd = random.Random(8)
+    docs = [(i, "plenty" if i < 400 else "enough" if i < 800 else "scarce", " ".join(rnd.choice(WORDS) for _ in range(20))) for i in range(805)]
+    targets = [("plenty", 0.3, 1), ("enough", 0.4, 2), ("scarce", 0.3, 3)]
+    mix = mixing.mix(spark.createDataFrame(docs, "doc_id bigint, source string, text string"), spark.createDataFrame(targets, "source string, target_share double, max_repeats int"), mixing.MixConfig(block_tokens=128))
+    shares, slots = mix.shares.toPandas(), mix.slots.toPandas()  # noqa: F841
+    duck.register("shares", shares)
+    duck.register("slots", slots)
+    off = duck.execute("""SELECT count(*) FROM shares JOIN (SELECT source, sum(tokens) AS t, count(*) AS u, max(n) AS most, sum(sum(tokens)) OVER () AS every
+        FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM slots) GROUP BY source) g USING (source)
+        WHERE t <> tokens OR u <> uses OR most > max_repeats OR abs(t / every - actual_share) > 1e-9""").fetchone()[0]
+    by = shares.set_index("source")
+    budget = by["available"].sum()
+    assert off == 0 and by.loc["scarce", "tokens"] == 3 * by.loc["scarce", "available"] and by.loc["scarce", "short"] > 0
+    assert all(0 <= by.loc[s, "tokens"] - int(budget * w) < 100 for s, w in (("plenty", 0.3), ("enough", 0.4))) and by.loc["plenty", "short"] == 0
+
+
+def test_slots_are_spread_evenly(spark):
+    plan = spark.createDataFrame([("a", 700), ("b", 299), ("c", 1)], "source string, wanted bigint")
+    got = sorted((r["slot"], r["source"], r["block"]) for r in mixing._schedule(plan, mixing.MixConfig(block_tokens=1, slot_chunk=64)).collect())
+    assert len({s for s, _, _ in got}) == 1000
+    for source, n in (("a", 700), ("b", 299), ("c", 1)):
+        assert [b for _, s, b in got if s == source] == list(range(n))
+        for m in range(1, 1001, 37):
+            assert abs(sum(s == source for _, s, _ in got[:m]) - m * n / 1000) < 12
 
 
 @TOKENIZER
