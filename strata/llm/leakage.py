@@ -1,7 +1,8 @@
 """Evaluation texts in training text: greedy string tiling over shared-token seeds.
 
 The items' word n-grams are a stated query set. They are taken in blocks of at most `block_seeds` n-grams; a block is a sorted
-array that goes to every task, and every document is looked up against every block, so the corpus itself is never shuffled. A document
+array that goes to every task, and every document is looked up against every block, so the corpus itself is never shuffled. The items are read from
+the driver's iterator, so that it holds one block at a time. A document
 and an item part that share a seed are tiled: seeds on one diagonal are joined into maximal common runs of words, the longest run that overlaps no
 marked word is marked, the rest is cut down to what is still free, and so on. The tiles don't depend on order, so reordered
 passages are caught by the share of the part that tiles cover. Words are compared as strings in the tiling, so a hash
@@ -16,7 +17,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +34,8 @@ _WORD = re.compile("[a-z0-9]+")
 class LeakConfig:
     #: shortest tile in words; also the length of a seed
     min_match: int = 12
+    #: words of the longest tile
+    min_longest: int = 0
     #: share of a part that its tiles must cover (0: any tile will do)
     min_coverage: float = 0.0
     block_seeds: int = 1_000_000
@@ -80,11 +83,11 @@ class _Block:
     items: list[tuple[str, str, list[str]]]
 
 
-def _blocks(items: list[tuple[str, str, str | None]], cfg: LeakConfig) -> Iterator[_Block]:
+def _blocks(items: Iterable[tuple[str, str, str | None]], cfg: LeakConfig) -> Iterator[_Block]:
     """items: (id, part, text)."""
     held: list[tuple[str, str, list[str]]] = []
     size = 0
-    for i, (key, part, text) in enumerate(items):
+    for key, part, text in items:
         words = _WORD.findall((text or "").lower())
         n = len(words) - cfg.min_match + 1
         if n > 0:
@@ -140,8 +143,9 @@ def _scan(docs: DataFrame, block: _Block, cfg: LeakConfig) -> DataFrame:
                         words[d] = _WORD.findall(texts[piece.start + d].lower())
                     got = tiles(part_words, words[d], starts, cfg.min_match)
                     covered = sum(n for _, _, n in got)
-                    if got and covered >= cfg.min_coverage * len(part_words):
-                        rows.append((ids[piece.start + d], item, part, len(got), max(n for _, _, n in got), covered, len(part_words), covered / len(part_words)))
+                    longest = max((n for _, _, n in got), default=0)
+                    if got and longest >= cfg.min_longest and covered >= cfg.min_coverage * len(part_words):
+                        rows.append((ids[piece.start + d], item, part, len(got), longest, covered, len(part_words), covered / len(part_words)))
             yield pd.DataFrame(rows, columns=["doc_id", "id", "part", "tiles", "longest", "matched", "words", "coverage"])
 
     return docs.select("doc_id", "text").where("text is not null").mapInPandas(run, LEAK)
@@ -150,7 +154,7 @@ def _scan(docs: DataFrame, block: _Block, cfg: LeakConfig) -> DataFrame:
 def leaks(docs: DataFrame, items: DataFrame, cfg: LeakConfig = LeakConfig()) -> DataFrame:
     """One row per document and item part (id, part, text) whose tiles reach cfg. The items are the query set: they are read through the driver block by block."""
     out = None
-    for block in _blocks([(r["id"], r["part"], r["text"]) for r in items.select("id", "part", "text").where("id is not null and text is not null").toLocalIterator()], cfg):
+    for block in _blocks(map(tuple, items.select("id", "part", "text").where("id is not null and text is not null").toLocalIterator()), cfg):
         found = _scan(docs, block, cfg)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], LEAK)

@@ -68,13 +68,15 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return leakage.leaks(table(spark, sf, "documents"), _items(spark, sf)).select("doc_id", "id").distinct()
+    """Documents and items whose longest tile has 12 words; the tiles grow from seeds of 8."""
+    cfg = leakage.LeakConfig(min_match=8, min_longest=12)
+    return leakage.leaks(table(spark, sf, "documents"), _items(spark, sf), cfg).select("doc_id", "id").distinct()
 
 
 def p6_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Leaked items, with reordered passages: tiles of at least 8 words that cover half of a part."""
-    found = leakage.leaks(table(spark, sf, "documents"), _items(spark, sf), leakage.LeakConfig(min_match=8, min_coverage=0.5))
-    return found.groupBy("id", "part").agg(F.countDistinct("doc_id").alias("documents"), F.max("coverage").alias("most"), F.max("longest").alias("longest"))
+    """Every document that leaks an item's part, reordered passages too: tiles of at least 8 words that cover half of the part."""
+    cfg = leakage.LeakConfig(min_match=8, min_coverage=0.5)
+    return leakage.leaks(table(spark, sf, "documents"), _items(spark, sf), cfg).select("doc_id", "id", "part", "tiles", "longest", "matched", "words", F.round("coverage", 6).alias("coverage"))
 
 
 def _mixture(spark: SparkSession, sf: str) -> mixing.Mixture:

@@ -274,8 +274,8 @@ def test_leaks_equal_brute_force(spark):
             own[at:at] = src[k : k + n]
         docs.append((d, ("; " if d % 2 else " ").join(own).upper()))
     docs += [(500, None), (501, "")]
-    for block in (1_000_000, 50):
-        got = leakage.leaks(spark.createDataFrame([(*d, "x") for d in docs], "doc_id bigint, text string, id string"), spark.createDataFrame(items, "id string, part string, text string"), leakage.LeakConfig(block_seeds=block)).collect()
+    for cfg in (leakage.LeakConfig(), leakage.LeakConfig(block_seeds=50), leakage.LeakConfig(min_match=5, min_longest=12)):
+        got = leakage.leaks(spark.createDataFrame([(*d, "x") for d in docs], "doc_id bigint, text string, id string"), spark.createDataFrame(items, "id string, part string, text string"), cfg).collect()
         want = {(d, i, p) for d, t in docs if t for i, p, s in items if s and longest_common_run(s.split(), re.findall("[a-z0-9]+", t.lower())) >= 12}
         assert {(r["doc_id"], r["id"], r["part"]) for r in got} == want and len(got) == len(want) and want
 
@@ -295,6 +295,30 @@ def test_tiles_never_overlap():
     assert leakage.tiles(a, doc, starts, 2) == [(2, 0, 5), (0, 6, 2)]
 
 
+def test_tiles_equal_plain_greedy_tiling():
+    rnd = random.Random(11)
+    for _ in range(80):
+        part, doc = ([rnd.choice("abc") for _ in range(rnd.randint(3, 25))] for _ in range(2))
+        least = rnd.choice([2, 3, 4])
+        free_part, free_doc, want = [True] * len(part), [True] * len(doc), []
+        while True:
+            best = (least - 1, 0, 0)
+            for i in range(len(part)):
+                for j in range(len(doc)):
+                    n = 0
+                    while i + n < len(part) and j + n < len(doc) and part[i + n] == doc[j + n] and free_part[i + n] and free_doc[j + n]:
+                        n += 1
+                    if n > best[0]:
+                        best = (n, i, j)
+            n, i, j = best
+            if n < least:
+                break
+            want.append((i, j, n))
+            free_part[i : i + n], free_doc[j : j + n] = [False] * n, [False] * n
+        starts = [(i, j) for i in range(len(part) - least + 1) for j in range(len(doc) - least + 1) if part[i : i + least] == doc[j : j + least]]
+        assert leakage.tiles(part, doc, starts, least) == want
+
+
 def test_no_items(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id bigint, text string")
     assert leakage.leaks(docs, spark.createDataFrame([], "id string, part string, text string")).count() == 0
