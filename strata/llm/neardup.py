@@ -9,7 +9,9 @@ takes place inside the cell of one A value. A pair of similarity s becomes a can
 
 Exact copies are folded into classes first, so that a text repeated a million times costs one signature.
 An A value shared by more than `cell_rows` texts is split into blocks whose pairs of blocks are separate
-cells (fragment and replicate), so no task ever holds more than two blocks and no pair is lost.
+cells (fragment and replicate), so no task ever holds more than two blocks, compares more than `cell_rows`^2 pairs at a time or loses a pair. Cells
+come to Python sorted and are compared one after the other; hits leave as they are found.
+A family of n almost equal texts has n^2 / 2 links, which are the result; what doesn't pass the sketch costs a few array operations.
 """
 
 from __future__ import annotations
@@ -36,7 +38,12 @@ class NearDupConfig:
     min_words: int = 5
     half: int = 2
     bands: int = 12
-    cell_rows: int = 200_000
+    cell_rows: int = 20_000
+    #: half-key rows in a task, as long as that gives at most max_parts tasks
+    part_rows: int = 60_000
+    max_parts: int = 50_000
+    #: classes of more copies are joined in pieces of this many
+    copies: int = 2_000
     #: sketch matches (of 64 two-bit lanes) below which a candidate is dropped; None: mean minus 2.7 standard deviations at the threshold
     sketch_floor: int | None = None
 
@@ -148,15 +155,13 @@ def classes(sig: DataFrame) -> DataFrame:
     return keyed.join(several, ["k1", "k2"]).select("id", "rep")
 
 
-def _cell_pairs(a: np.ndarray, side: np.ndarray, same: bool, ids: np.ndarray, b: np.ndarray, sk: np.ndarray, floor: int) -> np.ndarray:
-    """Pairs (positions) of one set of rows that share A and some B_j and pass the sketch. same: within one block, else only across sides."""
-    found = []
+def _cell_pairs(a: np.ndarray, side: np.ndarray, same: bool, ids: np.ndarray, b: np.ndarray, sk: np.ndarray, floor: int) -> Iterator[np.ndarray]:
+    """Blocks of pairs (positions) of rows that share A and some B_j and pass the sketch. same: within one block, else only across sides."""
     for j in range(b.shape[1]):
         key = mix64(a + b[:, j].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j))
         order = np.argsort(key, kind="stable")
         k = key[order]
         run = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
-        size = np.repeat(np.diff(run), np.diff(run))
         left = np.repeat(run[1:], np.diff(run)) - np.arange(len(k)) - 1  # rows after this one in its run
         live = np.flatnonzero(left > 0)
         step = 1
@@ -170,17 +175,17 @@ def _cell_pairs(a: np.ndarray, side: np.ndarray, same: bool, ids: np.ndarray, b:
             keep = ids[x] != ids[y]
             if not same:
                 keep &= side[x] != side[y]
+            # a pair that shares an earlier B as well was compared there
+            for e in range(j):
+                keep &= b[x, e] != b[y, e]
             x, y = x[keep], y[keep]
             diff = sk[x] ^ sk[y]
             diff = (diff | (diff >> np.uint64(1))) & _LANES
-            match = SKETCH_BINS - np.bitwise_count(diff).sum(axis=1)
-            good = match >= floor
+            good = SKETCH_BINS - np.bitwise_count(diff).sum(axis=1) >= floor
             if good.any():
-                found.append(np.stack([x[good], y[good]], axis=1))
+                yield np.stack([x[good], y[good]], axis=1)
             step += width
             live = live[left[live] >= step]
-        del size
-    return np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
 
 
 def candidates(sig: DataFrame, cfg: NearDupConfig) -> DataFrame:
@@ -204,29 +209,38 @@ def candidates(sig: DataFrame, cfg: NearDupConfig) -> DataFrame:
             .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
             .select("id", "b", "sk", "av", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block")
         )
-    rows = sig.count() * cfg.bands
-    parts = max(tasks_of(spark), -(-rows // 400_000))
-    placed = placed.withColumn("part", F.expr(f"cast(pmod(xxhash64(av, lo, hi), {parts}) as int)"))
+    parts = max(tasks_of(spark), min(-(-sig.count() * cfg.bands // cfg.part_rows), cfg.max_parts))
     bands, floor = cfg.bands, cfg.floor()
+    cells = placed.repartitionById(parts, F.expr(f"cast(pmod(xxhash64(av, lo, hi), {parts}) as int)")).sortWithinPartitions("av", "lo", "hi")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def pairs(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         ids = pdf["id"].to_numpy()
         av = pdf["av"].to_numpy().astype(np.int64).view(np.uint64)
         lo, hi, block = (pdf[c].to_numpy().astype(np.int64) for c in ("lo", "hi", "block"))
         b = np.frombuffer(b"".join(pdf["b"]), dtype=np.uint16).reshape(-1, bands)
         sk = np.frombuffer(b"".join(pdf["sk"]), dtype=np.uint64).reshape(-1, 2)
         a = mix64(av + (lo * 1_000_003 + hi).astype(np.uint64))
-        out = []
         for same in (True, False):
             at = np.flatnonzero((lo == hi) == same)
-            if len(at):
-                pairs = _cell_pairs(a[at], block[at], same, ids[at], b[at], sk[at], floor)
-                out.append(ids[at][pairs])
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+            for got in _cell_pairs(a[at], block[at], same, ids[at], b[at], sk[at], floor) if len(at) else ():
+                found = np.sort(ids[at][got], axis=1)
+                yield pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
-    return placed.groupBy("part").applyInPandas(run, "a bigint, b bigint").distinct()
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # rows whose cell may go on
+        for pdf in it:
+            if not len(pdf):
+                continue
+            open_ = (pdf["av"] == pdf["av"].iloc[-1]) & (pdf["lo"] == pdf["lo"].iloc[-1]) & (pdf["hi"] == pdf["hi"].iloc[-1])
+            first = int(open_.to_numpy().argmax())
+            if first:
+                yield from pairs(pd.concat([*held, pdf.iloc[:first]]))
+                held = []
+            held.append(pdf.iloc[first:])
+        if held:
+            yield from pairs(pd.concat(held))
+
+    return cells.mapInPandas(run, "a bigint, b bigint").distinct()
 
 
 def _gram_lists(texts: np.ndarray, shingle: int) -> list[np.ndarray]:
@@ -291,17 +305,31 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig) -> NearDups:
     return NearDups(cut(verify(docs, pairs, cfg)), members, sig.select("id"))
 
 
-def expand_pairs(found: NearDups) -> DataFrame:
-    """(a, b), a < b: all pairs of rows, copies included. As large as its result has to be."""
-    links, members = found.links.select("a", "b"), found.members
-    rep_of = members.select(F.col("rep"), F.col("id"))
-    left = links.join(rep_of.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a", "left").withColumn("x", F.coalesce("x", "a"))
-    across = left.join(rep_of.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b", "left").withColumn("y", F.coalesce("y", "b"))
-    within = rep_of.select("rep", F.col("id").alias("x")).join(rep_of.select("rep", F.col("id").alias("y")), "rep").where("x < y")
-    return (
-        across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .unionByName(within.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    )
+def expand_pairs(found: NearDups, cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
+    """(a, b), a < b: all pairs of rows, copies included. As large as its result has to be.
+
+    A class of more than cfg.copies rows is met in pieces of that many, so that no task pairs a whole large class.
+    """
+    links, rep_of = found.links.select("a", "b"), found.members.select("rep", "id")
+    large = cut(rep_of.groupBy("rep").agg(F.ceil(F.count("*") / cfg.copies).cast("int").alias("pieces")).where("pieces > 1"))
+    plain = large.isEmpty()
+    side = None if plain else small_side(large)
+
+    def pieces(df: DataFrame, rep: str) -> DataFrame:
+        split = df.withColumn("pieces", F.lit(1)) if plain else df.join(side.withColumnRenamed("rep", rep), rep, "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+        return split.withColumn("piece", F.explode(F.expr("sequence(0, pieces - 1)")))
+
+    members = rep_of.withColumn("piece", F.lit(0)) if plain else rep_of.join(side, "rep", "left").withColumn("piece", F.expr("cast(pmod(xxhash64(id, 23), coalesce(pieces, 1)) as int)")).drop("pieces")
+
+    def spread(df: DataFrame, rep: str, out: str) -> DataFrame:
+        """Each row once for every member of the class `rep`; a class of one is its representative."""
+        m = members.select(F.col("rep").alias(rep), "piece", F.col("id").alias(out))
+        met = pieces(df, rep).join(m, [rep, "piece"], "left").where(F.col(out).isNotNull() | (F.col("pieces") == 1))
+        return met.withColumn(out, F.coalesce(out, rep)).drop("piece", "pieces")
+
+    across = spread(spread(links, "a", "x"), "b", "y")
+    within = pieces(rep_of.select("rep", F.col("id").alias("x")), "rep").join(members.select("rep", "piece", F.col("id").alias("y")), ["rep", "piece"]).where("x < y")
+    return across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(within.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:

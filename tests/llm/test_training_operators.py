@@ -225,10 +225,10 @@ def test_near_duplicates_equal_brute_force(spark, shingle, threshold, cell):
     hot = [rnd.choice(WORDS) for _ in range(80)]  # one group holds a third of the rows
     rows += [(1000 + k, " ".join(hot if k % 2 else edited(rnd, hot, 1))) for k in range(80)]
     rows += [(2000, None), (2001, ""), (2002, "one two"), (2003, "é" * 50), (2004, " ".join(WORDS * 50))]
-    cfg = neardup.NearDupConfig(shingle=shingle, threshold=threshold, min_words=30, cell_rows=cell)
+    cfg = neardup.NearDupConfig(shingle=shingle, threshold=threshold, min_words=30, cell_rows=cell, part_rows=500, copies=2)
     df = spark.createDataFrame([(*r, 5, "x") for r in rows], "id bigint, text string, a int, rep string").repartition(3)
     found = neardup.near_duplicates(df, cfg)
-    got = [tuple(r) for r in neardup.expand_pairs(found).collect()]
+    got = [tuple(r) for r in neardup.expand_pairs(found, cfg).collect()]
     want = pairs_of(rows, cfg)
     assert len(got) == len(set(got)) and set(got) <= set(want)
     sure = {p for p, s in want.items() if s >= threshold + 0.1}
