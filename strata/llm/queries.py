@@ -62,6 +62,16 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return _pieces(spark, sf).where("chunk_index = 0 and total_chunks_in_section > 1").select(F.col("key").alias("section_id"))
 
 
+def p2_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What the pieces of each section keep to: characters besides blanks, whether all fit, overlap by at most 200, and are numbered without gaps."""
+    core = F.expr("substring(text, core - start + 1)")
+    blank = "[ \\t\\r\\n]"
+    return _pieces(spark, sf).groupBy(F.col("key").alias("section_id")).agg(
+        F.sum(F.length(F.regexp_replace(core, blank, ""))).alias("characters"), (F.max(F.length("text")) <= 2000).alias("fits"), (F.max(F.col("core") - F.col("start")) <= 200).alias("overlaps"),
+        ((F.max("chunk_index") == F.count("*") - 1) & (F.countDistinct("chunk_index") == F.count("*")) & (F.min("total_chunks_in_section") == F.count("*")) & (F.max("total_chunks_in_section") == F.count("*"))).alias("numbered"),
+    )
+
+
 def _items(spark: SparkSession, sf: str) -> DataFrame:
     q = table(spark, sf, "eval_question")
     return q.select("id", F.lit("question").alias("part"), F.col("question").alias("text")).unionByName(q.select("id", F.lit("passage").alias("part"), F.col("passage").alias("text")))
@@ -120,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_blocks": p1_blocks,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p2_checks": p2_checks,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_found": p6_found,
@@ -147,6 +158,14 @@ _P1_CASES = r"""
     cases AS (
         SELECT source, form FROM spread JOIN held USING (source) WHERE spread.n >= 6 AND spread.n >= 0.03 * held.n)
 """
+_P5_PAIRS = r"""
+    WITH RECURSIVE words AS (
+        SELECT record_id, w FROM (SELECT record_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM ingest WHERE text IS NOT NULL) WHERE len(w) >= 30),
+    grams AS (SELECT DISTINCT record_id, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS gram FROM (SELECT record_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+    sizes AS (SELECT record_id, count(*) AS n FROM grams GROUP BY record_id),
+    common AS (SELECT x.record_id AS a, y.record_id AS b, count(*) AS n FROM grams x JOIN grams y ON x.gram = y.gram AND x.record_id < y.record_id GROUP BY ALL),
+    pairs AS (SELECT a, b FROM common c JOIN sizes x ON x.record_id = a JOIN sizes y ON y.record_id = b WHERE c.n >= 0.5 * (x.n + y.n - c.n))
+"""
 SQL: dict[str, str] = {
     "p1_found": _P1_CASES + """
     SELECT record_id, CAST(line_no AS INTEGER) AS line_no FROM normal JOIN cases USING (source, form)""",
@@ -155,7 +174,28 @@ SQL: dict[str, str] = {
     SELECT record_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(
         list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END AS text
     FROM ingest LEFT JOIN gone USING (record_id)""",
+    "p1_blocks": _P1_CASES + """,
+    forms AS (SELECT record_id, source, list(CASE WHEN length(form) >= 20 THEN form END ORDER BY line_no) AS f FROM normal GROUP BY ALL),
+    starts AS (SELECT record_id, source, f, unnest(range(1, len(f) + 1)) AS i FROM forms),
+    windows AS (SELECT record_id, source, i, f[i:i + l - 1] AS block FROM (SELECT *, unnest(range(1, len(f) - i + 2)) AS l FROM starts)),
+    blocks AS (
+        SELECT source, block, count(DISTINCT record_id) AS records, min((record_id, i - 1)) AS place FROM windows
+        WHERE len(list_filter(block, lambda x: x IS NULL)) = 0 GROUP BY source, block),
+    often AS (SELECT blocks.* FROM blocks JOIN held USING (source) WHERE records >= 6 AND records >= 0.03 * n),
+    inside AS (SELECT source, block[1:len(block) - 1] AS block FROM often UNION SELECT source, block[2:] FROM often)
+    SELECT source AS ticker, CAST(len(block) AS INTEGER) AS lines, records, place[1] AS record_id, CAST(place[2] AS INTEGER) AS line_no FROM often ANTI JOIN inside USING (source, block)""",
     "p2_found": r"""SELECT section_id FROM filing_section WHERE length(trim(text, chr(32) || chr(9) || chr(13) || chr(10))) > 2000""",
+    "p2_checks": r"""
+    SELECT section_id, length(regexp_replace(text, '[ \t\r\n]', '', 'g')) AS characters, true AS fits, true AS overlaps, true AS numbered
+    FROM filing_section WHERE length(trim(text, chr(32) || chr(9) || chr(13) || chr(10))) > 0""",
+    "p5_found": _P5_PAIRS + "SELECT a AS record_id_a, b AS record_id_b FROM pairs",
+    "p5_groups": _P5_PAIRS + """,
+    classes AS (SELECT record_id, min(record_id) OVER (PARTITION BY array_to_string(w, ' ')) AS class_id FROM words),
+    links AS (SELECT a, b FROM pairs WHERE a IN (SELECT class_id FROM classes) AND b IN (SELECT class_id FROM classes)),
+    ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT DISTINCT class_id AS id, class_id AS root FROM classes UNION SELECT b, root FROM reach JOIN ends ON a = id)
+    SELECT record_id, class_id, group_id, coalesce(n, 0) AS links FROM classes JOIN (SELECT id AS class_id, min(root) AS group_id FROM reach GROUP BY id) USING (class_id)
+        LEFT JOIN (SELECT a AS class_id, count(*) AS n FROM ends GROUP BY a) USING (class_id)""",
     "p7_plan": r"""
     WITH have AS (SELECT lower(trim(source, ' ')) AS source, count(*) AS documents, sum(length(text)) AS available FROM documents WHERE length(text) > 0 GROUP BY ALL),
     due AS (

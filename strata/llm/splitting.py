@@ -1,9 +1,11 @@
 """Splitting oversized texts at natural boundaries by agglomerative merging.
 
-A text is cut into atomic segments at every possible boundary; a boundary has a strength (paragraph, line, sentence, clause, word, none). Adjacent
+A text is cut into atomic segments at its boundaries; a boundary has a strength (paragraph, line, sentence, clause, word, none). Adjacent
 pairs wait in a heap ordered by the strength of the boundary between them, then by their joint size, then by place; the weakest boundary is merged first as long
-as the joint size plus the overlap fits the limit. The boundaries that are left are the cuts. Every piece but the first is preceded
-by up to `overlap` characters of what comes before it, from a boundary on where there is one.
+as the joint size plus the overlap fits the limit. The boundaries that are left are the cuts. A stretch between two stronger boundaries that fits is merged whole by
+these rules whatever its inner order, so it is atomic from the start, and only stretches that don't fit are taken apart at the next weaker strength.
+A full stop after a shortened word or an initial ends no sentence. Every piece but the first is preceded
+by up to `overlap` characters of what comes before it, from the strongest boundary in reach on, of equally strong ones the earliest.
 
 Sizes are code points. Blanks at both ends of a text and of a piece are left out and nothing else is: the pieces' cores, in order, hold every other character.
 
@@ -20,11 +22,17 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from strata.functions.text import ABBREVIATIONS
+
 BLANKS = " \t\r\n"
 #: Strengths of boundaries.
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, HARD = 5, 4, 3, 2, 1, 0
-_BOUNDARY = re.compile(r"(?P<para>\s*\n[ \t\r]*\n\s*)|(?P<line>[ \t\r]*\n[ \t\r]*)|(?P<sent>(?<=[.!?。…])[\"'”’)\]]*\s+|(?<=[。！？]))|(?P<clause>(?<=[,;:–—])\s+|(?<=[，；：、]))|(?P<word>\s+)")
-_STRENGTH = {"para": PARAGRAPH, "line": LINE, "sent": SENTENCE, "clause": CLAUSE, "word": WORD}
+#: strongest first
+_LEVELS = [
+    (PARAGRAPH, re.compile(r"\s*\n[ \t\r]*\n\s*")), (LINE, re.compile(r"[ \t\r]*\n[ \t\r]*")), (SENTENCE, re.compile(r"(?<=[.!?。…])[\"'”’)\]]*\s+|(?<=[。！？])")),
+    (CLAUSE, re.compile(r"(?<=[,;:–—])\s+|(?<=[，；：、])")), (WORD, re.compile(r"\s+")),
+]
+_SHORTENED = re.compile(r"(?<![^\W\d_])([^\W\d_]{1,6})\.[\"'”’)\]]*$")
 
 
 @dataclass(frozen=True)
@@ -45,21 +53,40 @@ class Piece:
     text: str
 
 
-def boundaries(text: str, start: int, end: int, most: int) -> list[tuple[int, int]]:
-    """(position, strength) of all cuts inside text[start:end]; runs longer than `most` get hard cuts."""
+def _ends_sentence(text: str, at: int) -> bool:
+    m = _SHORTENED.search(text, max(0, at - 12), at)
+    return m is None or not (len(m[1]) == 1 or m[1].lower() in ABBREVIATIONS)
+
+
+def _places(text: str, start: int, end: int, level: int) -> list[int]:
+    """Ends of the boundaries of one level inside text[start:end]."""
+    strength, pattern = _LEVELS[level]
+    return [m.end() for m in pattern.finditer(text, start, end) if start < m.end() < end and (strength != SENTENCE or _ends_sentence(text, m.start()))]
+
+
+def boundaries(text: str, start: int, end: int, most: int, level: int = 0) -> list[tuple[int, int]]:
+    """(position, strength) of the cuts that part text[start:end] into segments of at most `most`, weaker ones only inside segments that don't fit otherwise."""
+    if end - start <= most:
+        return []
+    if level == len(_LEVELS):
+        return [(p, HARD) for p in range(start + most, end, most)]
+    at = _places(text, start, end, level)
     out: list[tuple[int, int]] = []
-    last = start
-    for m in _BOUNDARY.finditer(text, start, end):
-        at, strength = m.end(), _STRENGTH[m.lastgroup]
-        if at <= last or at >= end:
-            continue
-        out += [(p, HARD) for p in range(last + most, at, most)]
-        out.append((at, strength))
-        last = at
-    out += [(p, HARD) for p in range(last + most, end, most)]
+    for left, right in zip([start, *at], [*at, end]):
+        if left > start:
+            out.append((left, _LEVELS[level][0]))
+        out += boundaries(text, left, right, most, level + 1)
     return out
 
 
+def _lead(text: str, floor: int, begin: int) -> int:
+    """Where the overlap before `begin` starts."""
+    for level in range(len(_LEVELS)):
+        if at := _places(text, floor - 1 if floor else floor, begin, level):
+            return at[0]
+    return floor
+
+
 def split_text(text: str | None, cfg: SplitConfig = SplitConfig()) -> list[Piece]:
     if text is None:
         return []
@@ -94,16 +121,10 @@ def split_text(text: str | None, cfg: SplitConfig = SplitConfig()) -> list[Piece
         if before[i] >= 0:
             heapq.heappush(heap, entry(before[i]))
     out: list[Piece] = []
-    places = [p for p, s in cuts if s > HARD]
-    k = 0
     for i in (i for i in range(n) if alive[i]):
         lead = begin[i]
         if out and cfg.overlap:
-            floor = begin[i] - cfg.overlap
-            while k < len(places) and places[k] < floor:
-                k += 1
-            lead = places[k] if k < len(places) and places[k] < begin[i] else floor
-            lead = max(lead, out[-1].core)
+            lead = max(_lead(text, begin[i] - cfg.overlap, begin[i]), out[-1].core)
         raw = text[lead : finish[i]]
         body = raw.rstrip(BLANKS)
         skip = len(body) - len(body.lstrip(BLANKS))

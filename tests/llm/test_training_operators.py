@@ -179,6 +179,32 @@ def test_cuts_prefer_strong_boundaries():
     assert all(text[: p.start].rstrip(" ").endswith("\n") for p in pieces[1:])
 
 
+def test_pieces_equal_plain_agglomeration():
+    """Merging from single words on, the weakest boundary first, gives the same cuts."""
+    rnd = random.Random(12)
+    for _ in range(60):
+        text = "".join(rnd.choice(["ab", "cde", "f", "ghijk"]) + rnd.choice([" ", " ", ", ", "! ", "\n", "\n\n"]) for _ in range(rnd.randint(10, 60))) + "z"
+        cfg = splitting.SplitConfig(30, 0)
+        strength: dict[int, int] = {}
+        for level in reversed(range(len(splitting._LEVELS))):
+            strength.update(dict.fromkeys(splitting._places(text, 0, len(text), level), splitting._LEVELS[level][0]))
+        ends = [0, *sorted(strength), len(text)]
+        while len(text) > 30:
+            fits = [(strength[ends[k]], ends[k + 1] - ends[k - 1], k) for k in range(1, len(ends) - 1) if ends[k + 1] - ends[k - 1] <= 30]
+            if not fits:
+                break
+            del ends[min(fits)[2]]
+        if len(text) > 30:
+            cores = [len(text) - len(text[e:].lstrip(splitting.BLANKS)) for e in ends[:-1]]
+            assert [p.core for p in splitting.split_text(text, cfg)] == list(dict.fromkeys(cores))
+
+
+def test_shortened_words_end_no_sentence():
+    text = "It was sold in the U.S. Market and by Apple Inc. Designers there. " * 60
+    pieces = splitting.split_text(text, splitting.SplitConfig(300, 80))
+    assert all(text[: p.core].endswith("there. ") and text[: p.start].endswith("there. ") or p.start == 0 for p in pieces)
+
+
 def test_sections_of_any_kind(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "short", "x"), (4, "w " * 3000, "x"), (4, "w " * 3000, "x")], "key bigint, text string, chunk_index string")
     got = splitting.split_sections(df).groupBy("key").agg(F.count("*").alias("n"), F.max("total_chunks_in_section").alias("t")).collect()
