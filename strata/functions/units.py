@@ -3,17 +3,23 @@
 A unit is a factor, an offset and a vector of exponents over the base dimensions. Unit expressions are parsed by a
 small grammar over tokens:
 
-    unit   := scales? 'of'? term (('per' | '/') term)*  |  term scale?  |  term ',' 'not scaled'
+    unit   := scales? 'of'? term below*  |  term scale? below*  |  term ',' 'not scaled'
+    below  := ('per' | '/') term  |  'per' word
     term   := ('square' | 'cubic')? name power?
+    power  := '²' | '³' | '2' | '3' right after the name  |  '^' digit
     scales := 'thousand' | 'million' | ... | '(in millions)' | 'whole' | 'single units of'
 
-Money is one dimension; its currency is kept, and the conversion to US dollars is left to the caller, who knows the year.
+Money is one dimension; its currency is kept, and the conversion to US dollars is left to the caller, who knows the year. What is counted ('per share') has
+no dimension and is kept by name. A number whose unit begins but can't be read to its end, or that stands behind an unknown currency code, is found
+without a unit: it is reported as unread and never booked as something else.
+
+Symbols of SI units are told by their case (MJ, mJ) and built from prefixes by rule.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 DIMENSIONS = ("money", "length", "mass", "time", "temperature")
@@ -31,17 +37,19 @@ class Unit:
     currency: str | None = None
     #: the currency of money below the line ('per euro')
     below: str | None = None
+    #: what is counted below the line ('per share')
+    each: str | None = None
 
     def times(self, other: Unit, sign: int = 1) -> Unit:
         dims = tuple(a + sign * b for a, b in zip(self.dims, other.dims))
         above, below = (self.currency or other.currency, self.below) if sign > 0 else (self.currency, self.below or other.currency)
-        return Unit(self.factor * other.factor**sign, dims, 0.0, above, below)
+        return Unit(self.factor * other.factor**sign, dims, 0.0, above, below, self.each)
 
     def power(self, n: int) -> Unit:
-        return Unit(self.factor**n, tuple(d * n for d in self.dims), 0.0, self.currency, self.below)
+        return Unit(self.factor**n, tuple(d * n for d in self.dims), 0.0, self.currency, self.below, self.each)
 
     def scaled(self, by: float) -> Unit:
-        return Unit(self.factor * by, self.dims, self.offset / by if by else 0.0, self.currency, self.below)
+        return Unit(self.factor * by, self.dims, self.offset / by if by else 0.0, self.currency, self.below, self.each)
 
 
 def _dim(**exponents: int) -> Vector:
@@ -58,16 +66,15 @@ KINDS: dict[Vector, tuple[str, str]] = {
 _BASE = ("USD", "m", "kg", "s", "K")
 
 
-def kind_and_unit(dims: Vector) -> tuple[str, str]:
+def kind_and_unit(unit: Unit) -> tuple[str, str]:
     """The name and canonical unit of a kind of quantity; beyond KINDS spelled from the exponents: ('length/time', 'm/s')."""
-    if dims in KINDS:
-        return KINDS[dims]
 
     def spelled(names: tuple[str, ...], one: str) -> str:
-        above = ["*".join(f"{n}{abs(d) if abs(d) > 1 else ''}" for n, d in zip(names, dims) if d * sign > 0) for sign in (1, -1)]
-        return (above[0] or "1") + (f"/{above[1]}" if above[1] else "") if any(dims) else one
+        above = ["*".join(f"{n}{abs(d) if abs(d) > 1 else ''}" for n, d in zip(names, unit.dims) if d * sign > 0) for sign in (1, -1)]
+        return (above[0] or "1") + (f"/{above[1]}" if above[1] else "") if any(unit.dims) else one
 
-    return spelled(DIMENSIONS, "ratio"), spelled(_BASE, "1")
+    kind, name = KINDS.get(unit.dims) or (spelled(DIMENSIONS, "ratio"), spelled(_BASE, "1"))
+    return (f"{kind}/{unit.each}", f"{name}/{unit.each}") if unit.each else (kind, name)
 
 
 SCALES = {
@@ -83,6 +90,11 @@ CURRENCIES = {
     "gbp": "GBP", "£": "GBP", "pound sterling": "GBP", "pounds sterling": "GBP", "british pound": "GBP", "british pounds": "GBP", "sterling": "GBP",
     "jpy": "JPY", "¥": "JPY", "yen": "JPY", "japanese yen": "JPY",
     "cad": "CAD", "c$": "CAD", "ca$": "CAD", "cdn$": "CAD", "canadian dollar": "CAD", "canadian dollars": "CAD",
+    "chf": "CHF", "franc": "CHF", "francs": "CHF", "swiss franc": "CHF", "swiss francs": "CHF",
+    "aud": "AUD", "a$": "AUD", "au$": "AUD", "australian dollar": "AUD", "australian dollars": "AUD", "nzd": "NZD", "nz$": "NZD", "new zealand dollar": "NZD", "new zealand dollars": "NZD",
+    "cny": "CNY", "rmb": "CNY", "yuan": "CNY", "renminbi": "CNY", "inr": "INR", "₹": "INR", "rupee": "INR", "rupees": "INR", "krw": "KRW", "₩": "KRW", "brl": "BRL", "r$": "BRL",
+    "sek": "SEK", "kronor": "SEK", "nok": "NOK", "dkk": "DKK", "mxn": "MXN", "zar": "ZAR", "pln": "PLN", "zloty": "PLN", "czk": "CZK", "huf": "HUF", "ils": "ILS",
+    "sgd": "SGD", "s$": "SGD", "singapore dollar": "SGD", "singapore dollars": "SGD", "hkd": "HKD", "hk$": "HKD", "hong kong dollar": "HKD", "hong kong dollars": "HKD",
 }
 
 _KWH = 3.6e6
@@ -114,35 +126,91 @@ NAMES: dict[str, Unit] = {
     **{n: Unit(1e3, POWER) for n in ("kw", "kilowatt", "kilowatts")},
     **{n: Unit(1e6, POWER) for n in ("mw", "megawatt", "megawatts")},
     **{n: Unit(1e9, POWER) for n in ("gw", "gigawatt", "gigawatts")},
-    **{n: Unit(3600.0, TIME) for n in ("hour", "hours")},
+    **{n: Unit(1.0, TIME) for n in ("second", "seconds", "sec")},
+    **{n: Unit(60.0, TIME) for n in ("minute", "minutes")},
+    **{n: Unit(3600.0, TIME) for n in ("hour", "hours", "hr", "hrs")},
     **{n: Unit(86400.0, TIME) for n in ("day", "days")},
+    **{n: Unit(7 * 86400.0, TIME) for n in ("week", "weeks")},
+    **{n: Unit(365.25 * 86400.0 / 12, TIME) for n in ("month", "months")},
+    **{n: Unit(365.25 * 86400.0, TIME) for n in ("year", "years", "annum")},
     **{n: Unit(1.0, TEMPERATURE, 273.15) for n in ("°c", "degrees celsius")},
     **{n: Unit(5 / 9, TEMPERATURE, 459.67) for n in ("°f", "degrees fahrenheit")},
 }
+#: symbols as they are written: every prefix with every base symbol
+_SI = {"": 1.0, "n": 1e-9, "µ": 1e-6, "μ": 1e-6, "m": 1e-3, "c": 1e-2, "k": 1e3, "M": 1e6, "G": 1e9, "T": 1e12}
+_FORCE, _PRESSURE, _FREQUENCY = _dim(mass=1, length=1, time=-2), _dim(mass=1, length=-1, time=-2), _dim(time=-1)
+_BASES = {
+    "m": Unit(1.0, LENGTH), "g": Unit(1e-3, MASS), "s": Unit(1.0, TIME), "J": Unit(1.0, ENERGY), "W": Unit(1.0, POWER), "Wh": Unit(3600.0, ENERGY), "L": Unit(1e-3, VOLUME), "l": Unit(1e-3, VOLUME),
+    "N": Unit(1.0, _FORCE), "Pa": Unit(1.0, _PRESSURE), "Hz": Unit(1.0, _FREQUENCY),
+}
+SYMBOLS: dict[str, Unit] = {"h": Unit(3600.0, TIME), "min": Unit(60.0, TIME), "t": Unit(1000.0, MASS), **{p + n: u.scaled(f) for p, f in _SI.items() for n, u in _BASES.items()}}
+_ALONE = {"s", "l", "n", "t"}
 _POWERS = {"square": 2, "sq": 2, "cubic": 3, "cu": 3}
-_TOKEN = re.compile(r"us\$|u\.s\.\$|ca\$|cdn\$|c\$|[€£¥$]|u\.s\.|'000s?|\b000s?\b|°[cf]|[²³]|kilowatt-hours?|megawatt-hours?|gigawatt-hours?|terawatt-hours?|[a-z]+|[(),/]|\S")
+_DIGIT_POWERS = {"²": 2, "³": 3, "2": 2, "3": 3}
+_TOKEN = re.compile(r"us\$|u\.s\.\$|ca\$|cdn\$|au\$|nz\$|hk\$|[acsr]\$|[€£¥$₹₩]|u\.s\.|'000s?|\b000s?\b|°[cf]|[²³]|kilowatt-hours?|megawatt-hours?|gigawatt-hours?|terawatt-hours?|[a-zµμ]+|[(),/]|\S", re.IGNORECASE)
+Token = tuple[str, int, int, str]
 
 
-@lru_cache(maxsize=100_000)
-def _tokens(text: str) -> tuple[tuple[str, int, int], ...]:
-    return tuple((m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text.lower().replace("’", "'").replace("‘", "'")))
+class _Tokens:
+    """Tokens (lower case, start, end, as written) of a stretch of text, read only as far as they are asked for."""
+
+    def __init__(self, text: str, start: int = 0, end: int | None = None):
+        self.start, self._read = start, []
+        self._more = _TOKEN.finditer(text, start, len(text) if end is None else end)
+
+    def get(self, i: int) -> Token | None:
+        while len(self._read) <= i:
+            m = next(self._more, None)
+            if m is None:
+                return None
+            self._read.append((m.group().lower().replace("’", "'").replace("‘", "'"), m.start(), m.end(), m.group()))
+        return self._read[i] if i >= 0 else None
+
+    def all(self) -> list[Token]:
+        while self.get(len(self._read)) is not None:
+            pass
+        return self._read
+
+
+class Unread(Exception):
+    """A unit begins here but can't be read to its end."""
 
 
 class _Parser:
-    def __init__(self, tokens: tuple[tuple[str, int, int], ...], at: int, after_number: bool):
+    def __init__(self, tokens: _Tokens, at: int, after_number: bool):
         self.tokens, self.at, self.after_number = tokens, at, after_number
 
     def peek(self, k: int = 0) -> str:
-        return self.tokens[self.at + k][0] if self.at + k < len(self.tokens) else ""
+        t = self.tokens.get(self.at + k)
+        return t[0] if t else ""
 
     def dots(self) -> None:
         if self.peek() == ".":
             self.at += 1
 
+    def end(self) -> int:
+        """Where the last token read ends."""
+        return self.tokens.get(self.at - 1)[2] if self.at else self.tokens.start
+
+    def touches(self, k: int = 0) -> bool:
+        """Whether token k follows the one before it without a blank."""
+        t, before = self.tokens.get(self.at + k), self.tokens.get(self.at + k - 1)
+        return t is not None and t[1] == (before[2] if before else self.tokens.start)
+
+    def power(self, k: int = 0) -> tuple[int, int]:
+        """(power, tokens read) of an exponent at token k; (1, 0) where there is none."""
+        word = self.peek(k)
+        if word in _DIGIT_POWERS and self.touches(k) and not (self.touches(k + 1) and (self.peek(k + 1).isdigit() or (self.peek(k + 1) in ".," and self.touches(k + 2) and self.peek(k + 2).isdigit()))):
+            return _DIGIT_POWERS[word], 1
+        if word == "^" and self.peek(k + 1).isdigit():
+            return int(self.peek(k + 1)), 2
+        return 1, 0
+
     def currency(self) -> Unit | None:
-        for n in (2, 1):
+        for n in (3, 2, 1):
             name = " ".join(self.peek(k) for k in range(n))
-            if name in CURRENCIES:
+            # a currency right before a number belongs to that number
+            if name in CURRENCIES and not (self.after_number and self.peek(n).isdigit()):
                 self.at += n
                 return Unit(1.0, MONEY, 0.0, CURRENCIES[name])
         return None
@@ -150,6 +218,8 @@ class _Parser:
     def scale(self, tight: bool) -> float | None:
         """A scale word; letters and '000 only where `tight`."""
         word = self.peek()
+        if word in _LETTERS and (word in NAMES or word in SYMBOLS) and (self.power(1)[1] or self.peek(1) == "/"):
+            return None  # 'm2', 't/ha'
         if word in SCALES and (tight or word not in _LETTERS):
             self.at += 1
             if word in ("mil", "mio", "mln"):
@@ -157,7 +227,7 @@ class _Parser:
             return SCALES[word]
         if word == "(" and self.peek(1) == "in" and self.peek(2) in SCALES and self.peek(3) == ")":
             self.at += 4
-            return SCALES[self.tokens[self.at - 2][0]]
+            return SCALES[self.peek(-2)]
         return None
 
     def term(self) -> Unit | None:
@@ -171,14 +241,15 @@ class _Parser:
             self.dots()
         for n in (2, 1):
             name = " ".join(self.peek(k) for k in range(n))
-            if name in NAMES:
+            unit = SYMBOLS.get(self.tokens.get(self.at)[3]) if n == 1 and self.tokens.get(self.at) else None
+            unit = unit or NAMES.get(name)
+            if unit is not None:
                 self.at += n
                 if name in ("ft", "mi", "yd", "gal", "lb", "lbs", "bbl") and self.peek() == ".":
                     self.dots()
-                unit = NAMES[name]
-                if self.peek() in ("²", "³"):
-                    power = 2 if self.peek() == "²" else 3
-                    self.at += 1
+                raised, read = self.power()
+                self.at += read
+                power = raised if read else power
                 return unit.power(power) if power > 1 else unit
         self.at = start
         return None
@@ -211,35 +282,46 @@ class _Parser:
         return self.quotient(term).scaled(factor)
 
     def quotient(self, unit: Unit) -> Unit:
-        """The unit over what follows as 'per term' or '/ term'."""
-        while self.peek() in ("per", "/"):
+        """The unit over what follows as 'per term', '/ term' or 'per word'."""
+        while self.peek() in ("per", "/") and self.peek(1):
+            by = self.peek()
             mark = self.at
             self.at += 1
             below = self.term()
-            if below is None or (below.currency and unit.below):
-                self.at = mark
+            if below is not None and not (below.currency and unit.below):
+                unit = unit.times(below, -1)
+            elif by == "per" and self.peek().isalpha() and unit.each is None:
+                self.at += 1
+                unit = replace(unit, each=self.peek(-1))
+            elif by == "/" and not (self.touches() and self.touches(-1)):
+                self.at = mark  # a slash between blanks parts phrases
                 break
-            unit = unit.times(below, -1)
+            else:
+                raise Unread
         return unit
 
 
-@lru_cache(maxsize=100_000)
-def parse_unit(text: str, after_number: bool = True) -> tuple[Unit, int] | None:
-    """(unit, characters read) of the unit expression at the start of the text."""
-    tokens = _tokens(text)
-    if not tokens or (after_number and text[: tokens[0][1]].strip(" \t- ")):
+def parse_unit(text: str, start: int = 0, end: int | None = None) -> tuple[Unit, int] | None:
+    """(unit, where it ends) of the unit expression that begins at `start`, right after a number."""
+    tokens = _Tokens(text, start, end)
+    first = tokens.get(0)
+    if first is None or text[start : first[1]].strip(" \t\u00a0\u202f-"):
         return None
-    p = _Parser(tokens, 0, after_number)
+    p = _Parser(tokens, 0, True)
     unit = p.unit()
-    return (unit, tokens[p.at - 1][2]) if unit is not None and p.at else None
+    return (unit, p.end()) if unit is not None and p.at else None
 
 
 def find_money_unit(text: str) -> Unit | None:
     """The first money unit named in a phrase (a bare scale after 'in' counts as US dollars), outside single amounts."""
-    tokens = _tokens(text)
-    for i, (word, _, _) in enumerate(tokens):
-        p = _Parser(tokens, i, False)
-        unit = p.unit()
+    lazy = _Tokens(text)
+    tokens = lazy.all()
+    for i, (word, *_) in enumerate(tokens):
+        p = _Parser(lazy, i, False)
+        try:
+            unit = p.unit()
+        except Unread:
+            continue
         if unit is None or unit.dims != MONEY:
             continue
         named = any(t[0] in CURRENCIES or " ".join(x[0] for x in tokens[j : j + 2]) in CURRENCIES for j, t in enumerate(tokens[i : p.at], i))
@@ -252,68 +334,84 @@ def find_money_unit(text: str) -> Unit | None:
     return None
 
 
-_PREFIX = r"(?P<cur>US\$|U\.S\.\$|CA\$|CDN\$|C\$|[€£¥$]|\b(?:USD|EUR|GBP|JPY|CAD)\b)"
-_AMOUNT = re.compile(
-    rf"(?P<neg>\(|(?<![\w.)%°])-)?(?:{_PREFIX}\s?)?(?<![\d.,A-Za-z])(?P<num>\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|\d+(?:\.\d+)?)(?=(?P<rest>[^\d\n]{{0,40}}))", re.IGNORECASE
-)
-#: A currency right before a number belongs to that number, not to the one before it.
-_NEXT_PREFIX = re.compile(rf"{_PREFIX}\s?$", re.IGNORECASE)
-#: Words that show that a number is not a quantity even if a unit's letter follows.
-_WORD_AFTER = re.compile(r"[A-Za-z]")
+_CODES = "|".join(sorted(re.escape(n) for n in CURRENCIES if re.fullmatch("[a-z]{3}", n) and n.upper() in CURRENCIES.values()))
+_PREFIX = rf"(?P<cur>(?:US|U\.S\.|CA|CDN|AU|NZ|HK)\$|(?<![A-Za-z])[ACSR]\$|[€£¥$₹₩]|\b(?:{_CODES})\b)"
+#: plain, with commas or no-break blanks between thousands, or with points between thousands and a decimal comma
+_NUMBER = r"\d{1,3}(?:\.\d{3})+,\d+|\d{1,3}(?:\.\d{3}){2,}(?![\d.])|\d{1,3}(?:[,\u00a0\u202f]\d{3})+(?:\.\d+)?|\d+,\d{1,2}(?![\d,])|\d+(?:\.\d+)?"
+_AMOUNT = re.compile(rf"(?P<neg>\(|(?<![\w.)%°])-)?(?:{_PREFIX}\s?)?(?<![\d.,A-Za-z])(?P<num>{_NUMBER})(?!\d)", re.IGNORECASE)
+_UNKNOWN_CODE = re.compile(r"(?<![A-Za-z])[A-Z]{3}\s?$")
+_COMMA = re.compile(r"\d+(?:\.\d{3})*,\d{1,2}|\d{1,3}(?:\.\d{3})+,\d+|\d{1,3}(?:\.\d{3}){2,}")
+
+
+def read_number(digits: str) -> float:
+    """1,234.5, 1.234,5, 466,7 or 1234.5."""
+    if _COMMA.fullmatch(digits):
+        digits = digits.replace(".", "").replace(",", ".")
+    return float(re.sub("[,\u00a0\u202f]", "", digits))
 
 
 @dataclass(frozen=True)
 class Quantity:
+    """unit is None where the amount was found but can't be read; status says why."""
+
     start: int
     raw: str
     amount: float
-    unit: Unit
+    unit: Unit | None
+    status: str = "ok"
 
     @property
-    def kind(self) -> str:
-        return kind_and_unit(self.unit.dims)[0]
+    def kind(self) -> str | None:
+        return self.unit and kind_and_unit(self.unit)[0]
 
-    def canonical(self) -> float:
+    def canonical(self) -> float | None:
         """In SI base units, or in the currency."""
-        return (self.amount + self.unit.offset) * self.unit.factor
+        return self.unit and (self.amount + self.unit.offset) * self.unit.factor
 
 
 def find_quantities(text: str) -> list[Quantity]:
     """All amounts of money and physical quantities of a text, in order. Bare numbers are none."""
-    out = []
+    out: list[Quantity] = []
     read_to = 0
     for m in _AMOUNT.finditer(text):
-        rest = m.group("rest")
-        if text[m.end("rest") : m.end("rest") + 1].isdigit():
-            rest = _NEXT_PREFIX.sub("", rest)
         # a currency read as the unit of the number before isn't read again
         currency = m.group("cur") if m.start("cur") >= read_to else None
-        amount = float(m.group("num").replace(",", ""))
-        end = m.end("num")
-        if currency:
-            unit = Unit(1.0, MONEY, 0.0, CURRENCIES[currency.lower()])
-            tokens = _tokens(rest)
-            p = _Parser(tokens, 0, True)
-            if tokens and not rest[: tokens[0][1]].strip("  "):
-                if (s := p.scale(tight=True)) is not None:
-                    unit = unit.scaled(s)
-                unit = p.quotient(unit)
-                end += tokens[p.at - 1][2] if p.at else 0
-        else:
-            got = parse_unit(rest)
-            if got is None:
-                continue
-            unit, read = got
-            word = rest[:read].strip().lower()
-            if unit.currency and (word in _LETTERS or _WORD_AFTER.match(rest[read : read + 1])):
-                continue  # a letter after a bare number ("10-K", "2024 B...") is no scale
-            end += read
-        bracketed = m.group("neg") == "(" and text[end : end + 1] == ")" and unit.dims == MONEY
+        amount, end, status = read_number(m.group("num")), m.end("num"), "ok"
+        stop = text.find("\n", end)
+        stop = len(text) if stop < 0 else stop
+        unit: Unit | None
+        try:
+            if currency:
+                unit = Unit(1.0, MONEY, 0.0, CURRENCIES[currency.lower()])
+                p = _Parser(_Tokens(text, end, stop), 0, True)
+                first = p.tokens.get(0)
+                if first and not text[end : first[1]].strip(" \u00a0\u202f"):
+                    if (s := p.scale(tight=True)) is not None:
+                        unit = unit.scaled(s)
+                    unit = p.quotient(unit)
+                    end = p.end()
+            else:
+                got = parse_unit(text, end, stop)
+                if got is None:
+                    continue
+                unit, after = got
+                word = text[end:after].strip().lower()
+                if word in _ALONE or (word in SYMBOLS and len(word) == 1 and text[end : end + 1] == word):
+                    continue  # "1990s", "5g", "3 t": a single letter is no unit by itself
+                if unit.currency and (word in _LETTERS or text[after : after + 1].isalpha()):
+                    continue  # a letter after a bare number ("10-K", "2024 B...") is no scale
+                if unit.currency == "USD" and word in SCALES and _UNKNOWN_CODE.search(text, max(0, m.start() - 5), m.start()) and any(c.islower() for c in text[max(0, m.start() - 40) : m.start()]):
+                    unit, status = None, "unknown currency"
+                end = after
+        except Unread:
+            unit, status = None, "unread unit"
+        money = unit is not None and unit.dims == MONEY
+        bracketed = m.group("neg") == "(" and text[end : end + 1] == ")" and money
         # in '5 million euros ($6 million)' the brackets hold a conversion
         converted = bracketed and out and out[-1].unit != unit and not text[read_to : m.start()].strip(" ")
         negative = m.group("neg") == "-" or (bracketed and not converted)
         start = m.start("cur") if currency else m.start("num")
-        out.append(Quantity(start, text[start:end], -amount if negative else amount, unit))
+        out.append(Quantity(start, text[start:end], -amount if negative else amount, unit, status))
         read_to = end
     return out
 

@@ -78,13 +78,13 @@ def disagreeing(converted: DataFrame, tolerance: float = 0.005) -> DataFrame:
     return converted.where(F.abs(a - b) > F.lit(tolerance) * F.greatest(a, b))
 
 
-AMOUNTS = "record_id bigint, year int, seq int, start int, raw string, kind string, amount double, currency string, below string, unit string"
+AMOUNTS = "record_id bigint, year int, seq int, start int, raw string, kind string, amount double, currency string, below string, unit string, status string"
 
 
 def amounts_in_texts(texts: DataFrame, rates: DataFrame) -> DataFrame:
-    """(record_id, seq, start, raw, kind, amount, unit): every amount and physical quantity in (record_id, year, text), in the canonical unit of its kind.
+    """(record_id, seq, start, raw, kind, amount, unit, status): every amount and physical quantity in (record_id, year, text), in the canonical unit of its kind.
 
-    Money below the line ('per euro') is converted as well."""
+    Money below the line ('per euro') is converted as well. status: ok, no rate (of that currency and year), unknown currency or unread unit; the amount is null unless ok."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -92,18 +92,18 @@ def amounts_in_texts(texts: DataFrame, rates: DataFrame) -> DataFrame:
             for record, year, text in zip(pdf["record_id"], pdf["year"], pdf["text"]):
                 year = None if year is None or year != year else int(year)
                 for seq, q in enumerate(units.find_quantities(text)):
-                    rows.append((record, year, seq, q.start, q.raw, q.kind, q.canonical(), q.unit.currency, q.unit.below, units.kind_and_unit(q.unit.dims)[1]))
-            got = pd.DataFrame(rows, columns=["record_id", "year", "seq", "start", "raw", "kind", "amount", "currency", "below", "unit"])
-            yield got.astype({"year": "Int32"})
+                    u = q.unit
+                    rows.append((record, year, seq, q.start, q.raw, q.kind, q.canonical(), u and u.currency, u and u.below, u and units.kind_and_unit(u)[1], q.status))
+            got = pd.DataFrame(rows, columns=["record_id", "year", "seq", "start", "raw", "kind", "amount", "currency", "below", "unit", "status"])
+            yield got.astype({"year": "Int32", "amount": "float64"})
 
-    found = texts.select("record_id", "year", "text").where("text is not null").mapInPandas(run, AMOUNTS)
+    found = texts.select("record_id", "year", "text").where(F.col("text").rlike("[0-9]")).mapInPandas(run, AMOUNTS)
     rate = small_side(rates.select("currency", "year", "usd_per_unit").dropDuplicates(["currency", "year"]))
     divisor = rate.select(F.col("currency").alias("below"), "year", F.col("usd_per_unit").alias("usd_below"))
 
     def factor(currency: str, rate: str) -> Column:
         return F.when(F.col(currency).isNull() | (F.col(currency) == "USD"), F.lit(1.0)).otherwise(F.col(rate))
 
-    return (
-        found.join(rate, ["currency", "year"], "left").join(divisor, ["below", "year"], "left")
-        .select("record_id", "seq", "start", "raw", "kind", (F.col("amount") * factor("currency", "usd_per_unit") / factor("below", "usd_below")).alias("amount"), "unit")
-    )
+    converted = found.join(rate, ["currency", "year"], "left").join(divisor, ["below", "year"], "left").withColumn("by", factor("currency", "usd_per_unit") / factor("below", "usd_below"))
+    status = F.when((F.col("status") == "ok") & F.col("by").isNull(), "no rate").otherwise(F.col("status"))
+    return converted.select("record_id", "seq", "start", "raw", "kind", (F.col("amount") * F.col("by")).alias("amount"), "unit", status.alias("status"))
