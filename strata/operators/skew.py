@@ -1,12 +1,13 @@
 """Per-key work without hot tasks: fragment-replicate by estimated load.
 
-1. Loads: rows per key, counted exactly with map-side combine.
-2. Plan: a task's share is total / tasks. A key above it is *heavy* (there are at most 4 * `tasks` of those, whatever the
+1. Loads: rows per key in a sample, scaled up. They steer where rows go, never which rows count.
+2. Plan: a task's share is total / tasks. A key above a quarter of it is *heavy* (there are at most 4 * `tasks` of those, whatever the
    data) and is split into proportionate shards. All other keys fall by hash into a fixed number of groups, whose loads are
-   known from the same counts. Shards and groups are packed onto tasks, largest first onto the least loaded.
+   known from the same sample. Shards and groups are packed onto tasks, largest first onto the least loaded.
 3. Fragment: each row goes to the task of its key's shard (chosen by a hash of the row) or of its group.
 4. Replicate: for a join, the other side's rows of a heavy key are copied to that key's shards only.
 
+Counts of distinct values come from rows that were made distinct inside each shard, so it doesn't matter how a key's values are spread.
 What the driver sees is bounded by `tasks` and `groups`, never by the number of keys or rows. Keys may be null: null is a key.
 """
 
@@ -33,7 +34,7 @@ class Plan:
     groups: int
     heavy: DataFrame
     n_heavy_shards: int
-    bins: list[int]
+    bins: DataFrame
     bin_load: list[int]
     heavy_keys: int
 
@@ -57,16 +58,16 @@ def key_loads(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("load"))
 
 
-def make_plan(df: DataFrame, keys: list[str], tasks: int | None = None, groups_per_task: int = 32) -> Plan:
-    """Estimate loads of `keys` and lay out shards and groups over `tasks` tasks."""
+def make_plan(df: DataFrame, keys: list[str], tasks: int | None = None, groups_per_task: int = 32, sample: float = 1 / 16) -> Plan:
+    """Estimate loads of `keys` from a sample and lay out shards and groups over `tasks` tasks."""
     spark = df.sparkSession
     tasks = tasks or tasks_of(spark)
     groups = tasks * groups_per_task
-    loads = cut(key_loads(df, keys))
+    rows = df.select(*keys)
+    loads = cut(key_loads(rows.sample(sample, seed=17) if sample < 1 else rows, keys))
     total = loads.agg(F.sum("load")).first()[0] or 0
-    share = max(1, -(-total // tasks))
     # a shard is kept to a quarter of a share, so that packing can even out; at most 4 * tasks heavy keys exist
-    limit = max(1, -(-share // 4))
+    limit = max(1, -(-total // (4 * tasks)))
     heavy = loads.where(F.col("load") > limit).collect()
     light = loads.where(F.col("load") <= limit).groupBy(_group(keys, groups).alias("g")).agg(F.sum("load").alias("load")).collect()
     shards, sizes, first = [], [], 0
@@ -81,8 +82,9 @@ def make_plan(df: DataFrame, keys: list[str], tasks: int | None = None, groups_p
     bin_load = [0] * tasks
     for b, n in zip(bins, sizes):
         bin_load[b] += n
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema), "_first int", "_n int"])
-    return Plan(keys, tasks, groups, spark.createDataFrame(shards, schema), first, bins, bin_load, len(shards))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "_first int", "_n int"])
+    placed = spark.createDataFrame(list(enumerate(bins)), f"{SHARD} int, {BIN} int")
+    return Plan(keys, tasks, groups, spark.createDataFrame(shards, schema), first, placed, bin_load, len(shards))
 
 
 def _with_heavy(df: DataFrame, plan: Plan) -> DataFrame:
@@ -95,37 +97,36 @@ def _with_heavy(df: DataFrame, plan: Plan) -> DataFrame:
     return df.join(F.broadcast(h), on, "left").drop(*[f"_k{i}" for i in range(len(plan.keys))])
 
 
-def _bin_of(plan: Plan, slot: Column) -> Column:
-    table = F.array(*[F.lit(b) for b in plan.bins])
-    return F.element_at(table, slot + 1)
+def _placed(df: DataFrame, plan: Plan) -> DataFrame:
+    """Adds _bin of _shard (a table of (groups_per_task + 4) * tasks rows at most, broadcast) and moves the rows there."""
+    return df.join(F.broadcast(plan.bins), SHARD).repartitionById(plan.tasks, F.col(BIN))
 
 
-def fragment(df: DataFrame, plan: Plan, by: list[str] | None = None) -> DataFrame:
-    """Adds _shard and _bin and moves each row to its task. Rows equal in `by` stay in one shard of their key (default: all columns)."""
-    spread = F.pmod(F.xxhash64(F.lit(29), *(by or df.columns)), F.col("_n")).cast("int")
+def fragment(df: DataFrame, plan: Plan) -> DataFrame:
+    """Adds _shard and _bin and moves each row to its task; equal rows of a heavy key are spread as well."""
+    spread = F.pmod(F.xxhash64(F.lit(29), F.monotonically_increasing_id()), F.col("_n")).cast("int")
     slot = F.when(F.col("_n").isNotNull(), F.col("_first") + spread).otherwise(F.lit(plan.n_heavy_shards) + _group(plan.keys, plan.groups))
-    placed = _with_heavy(df, plan).withColumn(SHARD, slot).drop("_first", "_n").withColumn(BIN, _bin_of(plan, F.col(SHARD)))
-    return placed.repartitionById(plan.tasks, F.col(BIN))
+    return _placed(_with_heavy(df, plan).withColumn(SHARD, slot).drop("_first", "_n"), plan)
 
 
 def replicate(df: DataFrame, plan: Plan) -> DataFrame:
     """The matching side: rows of a heavy key once for each of its shards, all others once; placed like fragment()."""
     slots = F.when(F.col("_n").isNotNull(), F.expr("sequence(_first, _first + _n - 1)")).otherwise(F.array(F.lit(plan.n_heavy_shards) + _group(plan.keys, plan.groups)))
-    placed = _with_heavy(df, plan).withColumn(SHARD, F.explode(slots)).drop("_first", "_n").withColumn(BIN, _bin_of(plan, F.col(SHARD)))
-    return placed.repartitionById(plan.tasks, F.col(BIN))
+    return _placed(_with_heavy(df, plan).withColumn(SHARD, F.explode(slots)).drop("_first", "_n"), plan)
 
 
-def balanced_counts(df: DataFrame, keys: list[str], distinct: str, size: Column, plan: Plan | None = None) -> DataFrame:
-    """(keys, rows, distinct values of `distinct`, sum of size) for each key.
+def balanced_counts(df: DataFrame, keys: list[str], distinct: str, size: Column | None = None, plan: Plan | None = None) -> DataFrame:
+    """(keys, rows, distinct values of `distinct`, sum of size) for each key; without `size` 0.
 
-    Rows of a heavy key are sharded by `distinct`, so each value lies in one shard and the shards' counts add up. Null values of
-    `distinct` count as no value; a key whose sizes are all null has sum 0. An empty table gives no rows. Extra columns are ignored.
+    Rows of a heavy key are sharded by row. A shard gives one row for each value of `distinct`, and these are added up by value, then by
+    key. Null values of `distinct` count as no value; a key whose sizes are all null has sum 0. An empty table gives no rows. Extra columns are ignored.
     """
-    narrow = df.select(*keys, F.col(distinct).alias("_d"), size.cast("bigint").alias("_s"))
+    narrow = df.select(*keys, F.col(distinct).alias("_d"), (F.lit(0) if size is None else size).cast("bigint").alias("_s"))
     plan = plan or make_plan(narrow, keys)
-    placed = fragment(narrow, plan, by=["_d"])
-    shard = placed.groupBy(BIN, SHARD, *keys).agg(F.count("*").alias("_c"), F.countDistinct("_d").alias("_u"), F.sum("_s").alias("_s"))
-    return shard.groupBy(*keys).agg(F.sum("_c").alias("rows"), F.sum("_u").alias("distinct_values"), F.coalesce(F.sum("_s"), F.lit(0).cast("bigint")).alias("size"))
+    add = lambda d: d.agg(F.sum("_c").alias("_c"), F.sum("_s").alias("_s"))
+    shard = fragment(narrow, plan).groupBy(BIN, SHARD, *keys, "_d").agg(F.count("*").alias("_c"), F.sum("_s").alias("_s"))
+    values = add(shard.groupBy(*keys, "_d"))
+    return values.groupBy(*keys).agg(F.sum("_c").alias("rows"), F.count("_d").alias("distinct_values"), F.coalesce(F.sum("_s"), F.lit(0).cast("bigint")).alias("size"))
 
 
 def balanced_join(big: DataFrame, other: DataFrame, keys: list[str], plan: Plan | None = None) -> DataFrame:

@@ -342,9 +342,24 @@ def test_balanced_counts_equal_a_group_by(spark):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
 
 
+def test_a_hot_key_of_one_value_is_split(spark):
+    df = spark.createDataFrame([("hot", None if i % 2 else 7, "ab") for i in range(4000)] + [("k", 1, None)], "filing_id string, chunk_index int, text string")
+    plan = skew.make_plan(df, ["filing_id"], tasks=8, sample=1.0)
+    sizes = [r["n"] for r in skew.fragment(df.withColumn("row", F.monotonically_increasing_id()), plan).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) <= 2 * 4000 / 8
+    assert sorted(map(tuple, skew.balanced_counts(df, ["filing_id"], "chunk_index", F.length("text"), plan).collect())) == [("hot", 4000, 1, 8000), ("k", 1, 1, 0)]
+
+
+def test_loads_of_a_sample_are_enough(spark):
+    df = spark.range(200_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 997)).alias("filing_id"), F.col("id"))
+    plan = skew.make_plan(df, ["filing_id"], tasks=8)
+    sizes = [r["n"] for r in skew.fragment(df, plan).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert plan.heavy_keys == 1 and max(sizes) <= 1.4 * sum(sizes) / 8
+
+
 def test_no_task_gets_the_hot_key(spark):
     df = skewed(spark)
-    plan = skew.make_plan(df, ["filing_id"], tasks=8)
+    plan = skew.make_plan(df, ["filing_id"], tasks=8, sample=1.0)
     assert plan.heavy_keys >= 1 and max(plan.bin_load) <= 2 * sum(plan.bin_load) / 8
     sizes = [r["n"] for r in skew.fragment(df, plan).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert max(sizes) <= 2.5 * sum(sizes) / 8
@@ -416,10 +431,48 @@ def test_amounts_of_any_kind(spark):
     rates = spark.createDataFrame([("EUR", 2020, 2.0)], "currency string, year int, usd_per_unit double")
     got = quantities.amounts_in_texts(spark.createDataFrame([(i, 2020, t) for i, t in enumerate(texts)], "record_id bigint, year int, text string"), rates).collect()
     barrel = 0.158987294928
-    want = [(12 * 1609.344 / 3600, "length/time", "m/s"), (5 / barrel, "money/length3", "USD/m3"), (5 / barrel, "money/length3", "USD/m3"), (4000, "money/length", "USD/m"), (1e4 * barrel / 86400, "length3/time", "m3/s"), (3, "ratio", "1"), (1 / 3, "ratio", "1"), (5, "money", "USD"), (3 * 4046.8564224, "area", "m2")]
+    want = [(12 * 1609.344 / 3600, "length/time", "m/s"), (5 / barrel, "money/length3", "USD/m3"), (5 / barrel, "money/length3", "USD/m3"), (4000, "money/length", "USD/m"), (1e4 * barrel / 86400, "length3/time", "m3/s"), (3, "ratio", "1"), (1 / 3, "ratio", "1"), (5, "money/share", "USD/share"), (3 * 4046.8564224, "area", "m2")]
     assert [(pytest.approx(r["amount"]), r["kind"], r["unit"]) for r in sorted(got, key=lambda r: r["record_id"])] == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("5 km2 and 12 m² and 3 km^2", [(5e6, "area"), (12, "area"), (3e6, "area")]), ("60 km/h, 5 m/s", [(60 / 3.6, "length/time"), (5, "length/time")]), ("80 USD per barrel", [(80 / 0.158987294928, "money/length3")]), ("3 kg/m3", [(3, "mass/length3")]), ("7 mg or 2 MJ, 2 mJ", [(7e-6, "mass"), (2e6, "energy"), (2e-3, "energy")]),
+     ("1.234,5 million euros; 466,7 Mio. USD; 1.234.567 EUR; 12,345 USD", [(1234.5e6, "money"), (466.7e6, "money"), (1234567, "money"), (12345, "money")]), ("CHF 5 million, 3 Swiss francs, A$2 bn", [(5e6, "money"), (3, "money"), (2e9, "money")]),
+     ("in the 1990s a 5g net of 3 t", []), ("5 km / 3 miles", [(5000, "length"), (3 * 1609.344, "length")]), ("paid 5 USD 6 million", [(6e6, "money")]), ("12 dollars per share a year", [(12, "money/share")]),
+     ("about " + " " * 60 + "5" + "\u00a0" * 3 + "million dollars", [(5e6, "money")])],
+)
+def test_units_are_read_to_their_end(text, want):
+    assert [(pytest.approx(q.canonical()), q.kind) for q in units.find_quantities(text)] == want
+
+
+def test_what_cannot_be_read_is_reported(spark):
+    rates = spark.createDataFrame([("EUR", 2020, 2.0)], "currency string, year int, usd_per_unit double")
+    rows = [(1, 2020, "sold for XQZ 5 million"), (2, 2020, "flows at 60 km/xyz"), (3, 2020, "cost CHF 5 million"), (4, None, "cost EUR 5"), (5, 2020, "WE SOLD THE 5 MILLION"), (6, 2020, None), (7, 2020, ""), (8, 2020, "EUR 5 million")]
+    got = quantities.amounts_in_texts(spark.createDataFrame([(*r, "x") for r in rows], "record_id bigint, year int, text string, unit string"), rates).collect()
+    assert {r["record_id"]: (r["amount"], r["status"]) for r in got} == {1: (None, "unknown currency"), 2: (None, "unread unit"), 3: (None, "no rate"), 4: (None, "no rate"), 5: (5e6, "ok"), 8: (1e7, "ok")}
+
+
+def test_recall_on_labelled_phrases():
+    """Every amount of phrases built from number forms, scales, currencies and units is found with its value."""
+    rnd = random.Random(3)
+    missed = total = 0
+    for _ in range(400):
+        value = rnd.choice([5, 12.5, 1234.5, 98765, 0.75])
+        digits = rnd.choice([f"{value:,}", f"{value}"])
+        scale, by = rnd.choice([("", 1), (" thousand", 1e3), (" million", 1e6), (" bn", 1e9)])
+        if rnd.random() < 0.5:
+            mark, code = rnd.choice([("$", "USD"), ("US$", "USD"), ("EUR ", "EUR"), ("€", "EUR"), ("GBP ", "GBP"), ("CHF ", "CHF"), ("¥", "JPY")])
+            text, want = f"{mark}{digits}{scale}", (value * by, code)
+        else:
+            unit, factor = rnd.choice([("km", 1e3), ("square metres", 1), ("MWh", 3.6e9), ("tonnes", 1e3), ("barrels", 0.158987294928), ("kg/m3", 1), ("hours", 3600)])
+            text, want = f"{digits}{scale if scale != ' bn' else ' billion'} {unit}", (value * by * factor, None)
+        total += 1
+        got = units.find_quantities(f"In 2023 it rose to {text} of goods, as Item 7 says.")
+        missed += len(got) != 1 or got[0].unit.currency != want[1] or abs(got[0].canonical() - want[0]) > 1e-9 * abs(want[0])
+    assert missed == 0 and total == 400
+
+
 def test_figures_take_the_stated_unit(spark):
     figures = spark.createDataFrame(
         [(1, "f", 2020, 5e6, -5.0, None, "x"), (2, "f", 2020, 5e6, 5000.0, "stmt unit: USD k", "x"), (3, "g", 2020, 2e6, 1000.0, "", "x"), (4, "h", 2020, 1.0, None, None, "x"), (5, "g", 1999, 2e6, 1000.0, "value unit: EUR m", "x"), (6, "h", 2020, 5e6, 5.1, None, "x")],
