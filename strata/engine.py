@@ -28,15 +28,21 @@ class Engine:
     aliases: dict[str, list[str]] = field(default_factory=lambda: dims.ALIASES)
     scorer: Callable[[], fusion.Scorer] | None = None
     today: int = 2025
+    index: lexical.Index | None = None
+
+    def warm_up(self, path: str) -> Engine:
+        """Writes the lexical index (with the vectors, if the chunks have them) under `path` and searches it from now on."""
+        self.index = lexical.write(self.chunks, path, self.settings)
+        return self
 
     def parse(self, queries: DataFrame) -> DataFrame:
         return questions.parse_questions(queries, self.settings, self.today, self.aliases)
 
     def search(self, queries: DataFrame, version: str = "v1", top_k: int | None = None, candidates: int | None = None, **flags: bool) -> DataFrame:
         """(query_id, key, rank, score, ...) with the chunks' columns."""
-        found = fusion.search(self.chunks, queries, version, top_k, self.settings, self.scorer, candidates, self.parse, **flags)
-        own = [c for c in self.chunks.columns if c != "embedding" and (c == "key" or c not in found.columns)]
-        return found.join(self.chunks.select(*own), "key")
+        found = fusion.search(self.chunks, queries, version, top_k, self.settings, self.scorer, candidates, self.parse, self.index, **flags)
+        own = [c for c in self.chunks.columns if c not in ("embedding", "key", *found.columns)]
+        return fusion.with_columns_of(found, self.chunks, own)
 
     def search_tool(self, calls: DataFrame) -> DataFrame:
         """(query_id, status, kept, dropped, adjusted, rendered) of calls (query_id, query, query_vector, ticker string, year string, section).
@@ -66,6 +72,13 @@ class Engine:
         rows = [(t, y, f"{t} labels the year tagged {y} as fiscal {y - by}") for t, by in dims.FISCAL_OFFSET.items() for y in self.settings.years]
         return self.chunks.sparkSession.createDataFrame(rows, "ticker string, year int, note string")
 
+    def financials_tool(self, calls: DataFrame) -> DataFrame:
+        """(query_id, rendered) of calls (query_id, ticker string, year string): needs both; unknown ones and missing filings are told."""
+        used = validation.validate(calls, self.settings, self.aliases).select("query_id", F.col("used_ticker").alias("ticker"), F.col("used_year").alias("year"), "adjusted")
+        told = used.join(io.financials_text(self.get_financials()), ["ticker", "year"], "left")
+        needed = F.when(F.col("ticker").isNull() | F.col("year").isNull(), F.concat(F.lit("Both a company and a year are needed: "), F.col("adjusted")))
+        return told.select("query_id", F.coalesce(needed, F.col("rendered"), F.format_string("No figures of %s FY%d are on file.", F.col("ticker"), F.col("year"))).alias("rendered"))
+
     def get_financials(self) -> DataFrame:
         """(ticker, year, metrics, unavailable) in millions; only reconciled figures are given."""
         if self.figures is None:

@@ -63,20 +63,36 @@ def largest_distinct(values: Column, limit: int = 60) -> Column:
     return F.slice(F.array_sort(F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (v != 0))), order), 1, limit)
 
 
-def derivable(target: Column, is_pct: Column, values: Column, limit: int = 60) -> Column:
-    """Whether two of the largest values give the target as difference, sum, percentage change, share or ratio."""
+def derivation(target: Column, is_pct: Column, values: Column, limit: int = 60) -> Column:
+    """How two of the largest values give the target: as difference, sum, percentage change, share or ratio; null if they don't. The first pair by size counts."""
     pool = largest_distinct(values, limit)
+    near = lambda x: F.when(is_pct, pct_close(target, x)).otherwise(close(target, x))
 
     def pair(a: Column, b: Column) -> Column:
-        near = lambda x: F.when(is_pct, pct_close(target, x)).otherwise(close(target, x))
-        return close(target, a - b) | close(target, b - a) | close(target, a + b) | near((a - b) / F.abs(b) * 100) | near(F.abs(a - b) / F.abs(b) * 100) | near(a / b * 100) | close(target, a / b)
+        told = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+        x, y = a.cast("string"), b.cast("string")
+        return (
+            F.when(close(target, a - b), told(x, " - ", y)).when(close(target, b - a), told(y, " - ", x)).when(close(target, a + b), told(x, " + ", y))
+            .when(near((a - b) / F.abs(b) * 100), told("change from ", y, " to ", x, " in %")).when(near(F.abs(a - b) / F.abs(b) * 100), told("change between ", y, " and ", x, " in %"))
+            .when(near(a / b * 100), told(x, " / ", y, " in %")).when(close(target, a / b), told(x, " / ", y))
+        )
+
+    pairs = F.transform(pool, lambda a, i: F.get(F.filter(F.transform(F.slice(pool, i + 2, F.lit(limit)), lambda b: pair(a, b)), lambda x: x.isNotNull()), F.lit(0)))
+    return F.get(F.filter(pairs, lambda x: x.isNotNull()), F.lit(0))
+
 
-    return F.exists(F.transform(pool, lambda a, i: F.struct(a.alias("a"), i.alias("i"))), lambda s: F.exists(F.slice(pool, s["i"] + 2, F.lit(limit)), lambda b: pair(s["a"], b)))
+def support(number: Column, grounded: Column, limit: int = 60) -> Column:
+    """struct<kind, reason>: exact, rescaled, derived or invented, and by which value or pair."""
+    first = lambda test: F.get(F.flatten(F.transform(number["candidates"], lambda c: F.filter(grounded, lambda g: test(c, g)))), F.lit(0))
+    exact, same = first(close), F.when(~number["is_pct"], first(lambda c, g: mantissa(c) == mantissa(g)))
+    derived = F.get(F.filter(F.transform(number["candidates"], lambda c: derivation(c, number["is_pct"], grounded, limit)), lambda x: x.isNotNull()), F.lit(0))
+    as_struct = lambda kind, reason: F.struct(F.lit(kind).alias("kind"), reason.alias("reason"))
+    return (
+        F.when(exact.isNotNull(), as_struct("exact", exact.cast("string"))).when(same.isNotNull(), as_struct("rescaled", same.cast("string")))
+        .when(derived.isNotNull(), as_struct("derived", derived)).otherwise(as_struct("invented", F.lit(None).cast("string")))
+    )
 
 
 def classify(number: Column, grounded: Column, limit: int = 60) -> Column:
     """exact, rescaled, derived or invented."""
-    exact = F.exists(number["candidates"], lambda c: F.exists(grounded, lambda g: close(c, g)))
-    same_digits = ~number["is_pct"] & F.exists(number["candidates"], lambda c: F.exists(grounded, lambda g: mantissa(c) == mantissa(g)))
-    derived = F.exists(number["candidates"], lambda c: derivable(c, number["is_pct"], grounded, limit))
-    return F.when(exact, "exact").when(same_digits, "rescaled").when(derived, "derived").otherwise("invented")
+    return support(number, grounded, limit)["kind"]

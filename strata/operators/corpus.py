@@ -1,17 +1,12 @@
-"""From filings to chunks: listing, sections, packing, keys, inventory, upsert."""
+"""From filings to sections and back to chunks: listing, sections, numbering, inventory, upsert."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strata import dims
 from strata.functions import text as tx
-from strata.functions.ids import point_id
 from strata.settings import Settings
 
 
@@ -71,56 +66,18 @@ def recover_by_reference(sections: DataFrame, cfg: Settings = Settings()) -> Dat
     return changed.withColumn("is_sparse", sparse).withColumn("incorporated_by_reference", by_ref).select(*sections.columns)
 
 
-def token_windows(tokens: Column, size: int, overlap: int) -> Column:
-    """Windows of `size` tokens with stride max(1, size - overlap); the first that reaches the end is the last."""
-    stride = max(1, size - overlap)
-    n = F.size(tokens)
-    starts = F.when(n <= size, F.when(n > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))).otherwise(F.sequence(F.lit(0), n - size + ((F.lit(stride) - (n - size) % stride) % stride), F.lit(stride)))
-    return F.transform(starts, lambda i: F.slice(tokens, i + 1, F.lit(size)))
-
-
-def pack_sentences(sentences: list[str], counts: list[int], size: int, overlap: int) -> list[str]:
-    """Greedy packing with a tail of whole sentences worth about `overlap` tokens carried over. A chunk exceeds `size` only by a carried tail, as published."""
-    out: list[str] = []
-    first, held = 0, 0
-    for i, n in enumerate(counts):
-        if i > first and held + n > size:
-            out.append(" ".join(sentences[first:i]))
-            tail, j = 0, i
-            while overlap > 0 and j > first and tail < overlap:
-                j -= 1
-                tail += counts[j]
-            first, held = j, tail
-        held += n
-    if first < len(sentences):
-        out.append(" ".join(sentences[first:]))
-    return [c for c in (x.strip() for x in out) if c]
-
-
-def chunk_sections(sections: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """One row per chunk of (filing_id, item, text, ...) with chunk_index, total_chunks_in_section and point_id. Sections are packed where they lie: no shuffle."""
-    size, overlap = cfg.chunk_tokens, cfg.chunk_overlap
-    # a sentence that is too long by itself is cut into token windows first
-    windows = lambda s: F.transform(token_windows(tx.tokenize(s), size, overlap), lambda w: F.array_join(w, " "))
-    pieces = F.flatten(F.transform(tx.split_sentences(F.col("text")), lambda s: F.when(F.size(tx.tokenize(s)) <= size, F.array(s)).otherwise(windows(s))))
-    keep = [c for c in sections.columns if c != "text"]
-    ready = sections.where(F.length(F.trim("text")) > 0).select(*keep, F.trim("text").alias("text"), pieces.alias("_s"))
-    ready = ready.withColumn("_n", F.transform("_s", lambda s: F.size(tx.tokenize(s))))
-    schema = T.StructType([*sections.select(*keep).schema.fields, T.StructField("total_chunks_in_section", T.IntegerType()), T.StructField("chunk_index", T.IntegerType()), T.StructField("text", T.StringType())])
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            chunks = [[t] if sum(n) <= size else pack_sentences(list(s), list(n), size, overlap) for t, s, n in zip(pdf["text"], pdf["_s"], pdf["_n"])]
-            out = pdf[keep].assign(total_chunks_in_section=[len(c) for c in chunks], chunk_index=[list(range(len(c))) for c in chunks], text=chunks)
-            yield out.explode(["chunk_index", "text"]).astype({"total_chunks_in_section": "int32", "chunk_index": "int32"})
-
-    return ready.mapInPandas(run, schema).withColumn("point_id", point_id(F.col("filing_id"), F.col("item"), F.col("chunk_index")))
-
-
-def renumbered(chunks: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """chunk_index and total_chunks_in_section of rows already cut; keys are whole sections, so a group is one section's chunks."""
+def renumbered(chunks: DataFrame, key: list[str], order: str) -> DataFrame:
+    """chunk_index and total_chunks_in_section of rows already cut, in the order of `order` (unique in a key).
+
+    Positions are counted on two levels: rows of one key fall into buckets of equal ranges of `order`, and a window only sees one key's bucket, so that no key is numbered in one task.
+    """
+    span = chunks.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count("*").alias("n"))
+    ranged = chunks.join(F.broadcast(span)).withColumn("_b", F.floor((F.col(order) - F.col("low")) / F.greatest(F.lit(1.0), (F.col("high") - F.col("low") + 1) / F.ceil(F.col("n") / 100_000)))).drop("low", "high", "n")
+    counts = ranged.groupBy(*key, "_b").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*key)
-    return chunks.withColumn("chunk_index", F.row_number().over(w.orderBy(*order)) - 1).withColumn("total_chunks_in_section", F.count("*").over(w).cast("int"))
+    base = counts.withColumn("_before", F.sum("_n").over(w.orderBy("_b")) - F.col("_n")).withColumn("total_chunks_in_section", F.sum("_n").over(w).cast("int")).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*key, "_b").orderBy(order))
+    return ranged.withColumn("_i", inside).join(base, [*key, "_b"]).withColumn("chunk_index", (F.col("_before") + F.col("_i") - 1).cast("int")).drop("_b", "_i", "_before")
 
 
 def inventory(chunks: DataFrame) -> DataFrame:
@@ -131,6 +88,14 @@ def inventory(chunks: DataFrame) -> DataFrame:
     )
 
 
+def ingest_totals(chunks: DataFrame) -> DataFrame:
+    """(ticker, filings, sections, chunks, sparse, by_reference) per ticker and, with ticker `all`, for everything: what an ingestion reports."""
+    one = chunks.groupBy("ticker", "filing_id", "section").agg(F.count("*").alias("c"), F.count_if("is_sparse").alias("s"), F.count_if("incorporated_by_reference").alias("r"))
+    return one.groupingSets([[F.col("ticker")], []], F.col("ticker")).agg(
+        F.countDistinct("filing_id").alias("filings"), F.count_if(F.col("filing_id").isNotNull() & F.col("section").isNotNull()).alias("sections"), F.sum("c").alias("chunks"), F.sum("s").alias("sparse"), F.sum("r").alias("by_reference"), F.grouping_id().alias("_g"),
+    ).select(F.when(F.col("_g") == 1, F.lit("all")).otherwise(F.col("ticker")).alias("ticker"), "filings", "sections", "chunks", "sparse", "by_reference")
+
+
 def with_absent(companies: DataFrame, held: DataFrame) -> DataFrame:
     """Every company of the list with its inventory; absent ones with zero chunks."""
     return companies.select("ticker").distinct().join(held, "ticker", "left").na.fill(0, ["chunks", "sections"])

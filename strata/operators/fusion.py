@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from strata.functions.text import tokenize
 from strata.operators import dense, lexical
+from strata.session import cut, small_side
 from strata.settings import Settings
 
 
@@ -73,42 +74,58 @@ def rerank(candidates: DataFrame, scorer: Callable[[], Scorer] | None, top_k: in
 
 
 def hybrid(corpus: DataFrame, queries: DataFrame, top_k: int, cfg: Settings = Settings(), index: lexical.Index | None = None, **flags: bool) -> DataFrame:
-    """v2: fused vector and lexical candidates. queries: (query_id, query, query_vector, optional q_ticker, q_year, q_section)."""
-    d = dense.search(corpus, queries, cfg.dense_candidates, cfg, **flags)
+    """v2: fused vector and lexical candidates. queries: (query_id, query, query_vector, optional q_ticker, q_year, q_section).
+
+    A stored index that holds the vectors serves both arms; the corpus is then not read.
+    """
+    d = dense.search(index.docs if index and "embedding" in index.docs.columns else corpus, queries, cfg.dense_candidates, cfg, **flags)
     x = lexical.search(corpus, queries, cfg.lexical_candidates, cfg, index, **flags)
     return reciprocal_rank_fusion(ranked_lists(dense=d, lexical=x), top_k, cfg)
 
 
-def search(corpus: DataFrame, queries: DataFrame, version: str = "v1", top_k: int | None = None, cfg: Settings = Settings(), scorer: Callable[[], Scorer] | None = None, candidates: int | None = None, parse: Callable[[DataFrame], DataFrame] | None = None, **flags: bool) -> DataFrame:
+def with_columns_of(found: DataFrame, corpus: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns of the corpus for found rows (query_id, key, ...): at most queries x n rows, cut and sent to the scan as long as they are few."""
+    return corpus.select("key", *columns).join(small_side(cut(found)), "key")
+
+
+def search(
+    corpus: DataFrame, queries: DataFrame, version: str = "v1", top_k: int | None = None, cfg: Settings = Settings(), scorer: Callable[[], Scorer] | None = None, candidates: int | None = None,
+    parse: Callable[[DataFrame], DataFrame] | None = None, index: lexical.Index | None = None, use_section_filter: bool = False, use_clean_query: bool = False, **flags: bool,
+) -> DataFrame:
     """Dispatcher. v1 vectors; v2 hybrid; v3 hybrid scoped by the parsed question (explicit q_ columns win); v4 v3 with quota and re-ranking.
 
-    `candidates` only reaches v4. An unknown version is an error. `parse` adds p_ticker and p_year to the queries.
+    `candidates` only reaches v4. An unknown version is an error. `parse` adds p_ticker, p_year, p_section and clean_query to the queries. v3 and v4 can also filter by the
+    parsed section and search with the cleaned question (re-ranking always reads the original one); the vector of a question is then the caller's to choose.
     """
     top_k = top_k or cfg.top_k
     if version == "v1":
         return dense.search(corpus, queries, top_k, cfg, **flags)
     if version == "v2":
-        return hybrid(corpus, queries, top_k, cfg, **flags)
+        return hybrid(corpus, queries, top_k, cfg, index, **flags)
     if version not in ("v3", "v4"):
         raise ValueError(f"unknown search version {version!r}; known: v1, v2, v3, v4")
     from strata.operators.questions import parse_questions
 
-    scoped = lexical.with_scope(queries)
-    parsed = (parse or parse_questions)(scoped)
+    explicit = lexical.with_scope(queries)
+    parsed = (parse or parse_questions)(explicit)
     scoped = parsed.withColumn("q_ticker", F.coalesce("q_ticker", "p_ticker")).withColumn("q_year", F.coalesce("q_year", "p_year"))
+    if use_section_filter:
+        scoped = scoped.withColumn("q_section", F.coalesce("q_section", "p_section"))
+    if use_clean_query:
+        scoped = scoped.withColumn("query", F.col("clean_query"))
     if version == "v3":
-        return hybrid(corpus, scoped, top_k, cfg, **flags)
+        return hybrid(corpus, scoped, top_k, cfg, index, **flags)
     n = max(candidates or cfg.rerank_candidates, top_k)
-    free = hybrid(corpus, scoped, n * cfg.quota_pool_factor if cfg.quota_share < 1 else n, cfg, **flags)
-    named = free.join(corpus.select("key", "section", "text"), "key").join(F.broadcast(queries.select("query_id", "query", *[c for c in ("q_section",) if c in queries.columns])), "query_id")
-    if "q_section" not in named.columns:
-        named = named.withColumn("q_section", F.lit(None).cast("string"))
-    pinned = named.where(F.col("q_section").isNotNull() & (F.col("rank") <= n))
-    open_ = named.where(F.col("q_section").isNull())
+    free = hybrid(corpus, scoped, n * cfg.quota_pool_factor if cfg.quota_share < 1 else n, cfg, index, **flags)
+    asked = explicit.select("query_id", "query", F.col("q_section").isNotNull().alias("pinned"))
+    named = with_columns_of(free, corpus, ["section", "text"]).join(asked, "query_id")
+    pinned = named.where(F.col("pinned") & (F.col("rank") <= n))
+    open_ = named.where(~F.col("pinned"))
     pool = (section_quota(open_, n, cfg.quota_share) if cfg.quota_share < 1 else open_.where(F.col("rank") <= n)).unionByName(pinned)
     return rerank(pool, scorer, top_k)
 
 
 def rescued(reranked: DataFrame, top_k: int) -> DataFrame:
-    """(query_id, promoted, deepest): results whose rank before re-ranking was beyond top_k."""
-    return reranked.groupBy("query_id").agg(F.count_if(F.col("pre_rank") > top_k).alias("promoted"), F.max("pre_rank").alias("deepest"))
+    """(query_id, promoted, deepest, from_ranks): results whose rank before re-ranking was beyond top_k, and all ranks before in the new order."""
+    ranks = F.transform(F.array_sort(F.collect_list(F.struct("rank", "pre_rank"))), lambda r: r["pre_rank"])
+    return reranked.groupBy("query_id").agg(F.count_if(F.col("pre_rank") > top_k).alias("promoted"), F.max("pre_rank").alias("deepest"), ranks.alias("from_ranks"))

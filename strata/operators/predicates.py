@@ -15,6 +15,11 @@ def scope(ticker: str | None = None, year: int | None = None, section: str | Non
     return reduce(lambda a, b: a & b, conds, F.lit(True))
 
 
+def describe_filters(ticker: str | None = None, year: int | None = None, section: str | None = None, exclude_sparse: bool = True, exclude_by_reference: bool = True) -> dict[str, object]:
+    """The filters in force by name, for logs and span records."""
+    return {"ticker": ticker, "year": year, "section": section, "exclude_sparse": exclude_sparse, "exclude_by_ref": exclude_by_reference}
+
+
 def row_scope(prefix: str = "q_", exclude_sparse: bool = True, exclude_by_reference: bool = True) -> Column:
     """scope() with each query row's own ticker, year and section (columns with the prefix; null sets no condition)."""
     conds = [F.col(prefix + c).isNull() | (F.col(c) == F.col(prefix + c)) for c in ("ticker", "year", "section")]

@@ -56,17 +56,25 @@ def section_expr(text: Column) -> Column:
     return F.when(named.isin(*[s[0] for s in dims.SECTIONS]), named).otherwise(F.array_min(F.filter(phrases, lambda s: s.isNotNull()))["section"])
 
 
+#: stands for what is taken out of a question
+_GONE = "\u0001"
+
+
 def clean_expr(text: Column, ticker: Column, aliases: dict[str, list[str]]) -> Column:
-    """The question without the names of its company, years and filings; the question itself if nothing is left."""
-    out = text
-    for t, own in aliases.items():
-        names = sorted([*own, t.lower()], key=len, reverse=True)
-        out = F.when(ticker == t, F.regexp_replace(out, r"(?i)\b(?:" + "|".join(_bounded(n)[2:-2] for n in names) + r")\b", " ")).otherwise(out)
+    """The question without the names of its company, years and filings; the question itself if nothing is left.
+
+    What is taken out leaves a mark. A mark goes with the possessive behind it, and at the end of a question with the preposition before it.
+    """
+    patterns = {t: r"(?i)\b(?:" + "|".join(_bounded(n)[2:-2] for n in sorted([*own, t.lower()], key=len, reverse=True)) + r")\b" for t, own in aliases.items()}
+    of_ticker = F.create_map(*[F.lit(x) for pair in patterns.items() for x in pair]) if patterns else F.lit(None).cast("map<string,string>")
+    pattern = F.coalesce(F.try_element_at(of_ticker, F.coalesce(ticker, F.lit(""))), F.lit("(?!)"))
+    marked = F.regexp_replace(text, pattern, F.lit(_GONE))
     for p in (FILING, FISCAL, YEAR, RELATIVE):
-        out = F.regexp_replace(out, p, " ")
-    out = F.regexp_replace(F.regexp_replace(out, r"\s*'s\b", ""), r"\b(?:in|for|during|of|at the end of)\s+(?:the\s+)?\?", "?")
-    out = F.regexp_replace(F.trim(F.regexp_replace(out, r"\s+", " ")), r"\s+([?.,])", "$1")
-    return F.when(out == "", text).otherwise(out)
+        marked = F.regexp_replace(marked, p, _GONE)
+    at_end = rf"(?i)(?:\b(?:at the end of|during|for|in|of)(?:\s+the)?\s+)?(?:{_GONE}(?:'s)?\s*)+([?])"
+    bare = F.regexp_replace(F.regexp_replace(marked, at_end, "$1"), rf"{_GONE}(?:'s)?", " ")
+    tidy = F.trim(F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), r" ([?.,])", "$1"))
+    return F.when(tidy == "", text).otherwise(tidy)
 
 
 def parse_questions(questions: DataFrame, cfg: Settings = Settings(), today: int = 2025, aliases: dict[str, list[str]] = dims.ALIASES, offsets: dict[str, int] = dims.FISCAL_OFFSET) -> DataFrame:

@@ -29,7 +29,7 @@ def line_values(lines: DataFrame) -> DataFrame:
     The patterns are a fixed dimension of some twenty rows, broadcast to the lines.
     """
     p = F.broadcast(dims.line_patterns(lines.sparkSession).join(F.broadcast(dims.metrics(lines.sparkSession).select("metric", "statement")), "metric"))
-    hit = lines.join(p, "statement").where(F.expr("line rlike concat('(?i)', pattern) and not (forbidden <> '' and line rlike concat('(?i)', forbidden))"))
+    hit = lines.join(p, "statement").where(F.expr("line rlike concat('(?i)', pattern)"))
     return hit.withColumn("v", first_number(F.col("line"))).where("v is not null").groupBy("filing_id", "metric").agg(F.min_by("v", F.struct("pat_no", "line_no")).alias("line_value"))
 
 

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import re
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata import dims
+from strata.functions import formats
 from strata.functions import numbers as nm
 from strata.functions import text as tx
 from strata.functions.ids import NAMESPACE, point_id
 from strata.operators import corpus as co
-from strata.operators import evaluate, fusion, guard, lexical, questions, reconcile
+from strata.operators import chunking, evaluate, fusion, guard, questions, reconcile, validation
 from strata.plans import retrieval_queries as rq
 from strata.session import table
 from strata.settings import Settings
@@ -35,7 +36,7 @@ def filings_missing(spark: SparkSession, sf: str) -> DataFrame:
 
 def chunk_index_totals(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "ingest").where("filing_id is not null and section is not null").select("record_id", "filing_id", "section")
-    return co.renumbered(rows, ["filing_id", "section"], ["record_id"]).select("record_id", "chunk_index", "total_chunks_in_section")
+    return co.renumbered(rows, ["filing_id", "section"], "record_id").select("record_id", "chunk_index", "total_chunks_in_section")
 
 
 def inventory(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,12 +70,22 @@ def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_pack(spark: SparkSession, sf: str) -> DataFrame:
-    return co.chunk_sections(co.extract_sections(_raw_sections(spark, sf).select("filing_id", "item", "text"), CFG), CFG)
+    """Chunks of the sections as they stand, with their characters besides blanks."""
+    chunks = chunking.chunk_sections(_raw_sections(spark, sf), CFG)
+    return chunks.select("section_id", "chunk_index", "total_chunks_in_section", F.length(F.regexp_replace("text", r"[ \t\n\r\f\x0B]", "")).alias("characters"))
+
+
+def clean_text(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "filing_section").select("section_id", tx.clean_text(F.col("text")).alias("text"))
+
+
+def ingest_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return co.ingest_totals(table(spark, sf, "ingest").withColumn("ticker", F.upper(F.trim("ticker"))).where("ticker is not null"))
 
 
 def token_windows(spark: SparkSession, sf: str) -> DataFrame:
     tokens = tx.tokenize(F.col("text"))
-    windows = table(spark, sf, "filing_section").where("text is not null").select("section_id", F.posexplode(co.token_windows(tokens, 128, 16)).alias("window_no", "w"))
+    windows = table(spark, sf, "filing_section").where("text is not null").select("section_id", F.posexplode(chunking.token_windows(tokens, 128, 16)).alias("window_no", "w"))
     return windows.select("section_id", "window_no", F.array_join("w", " ").alias("tokens"))
 
 
@@ -83,10 +94,11 @@ def chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def upsert_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows up to the middle of 2024's arrivals are held already; later ones are written over them."""
+    """The earlier half of the rows is held already; the later half is written over it."""
     rows = table(spark, sf, "ingest").select("record_id", F.concat_ws("|", F.coalesce("filing_id", F.lit("")), F.coalesce("section", F.lit("")), F.coalesce(F.col("chunk_index").cast("string"), F.lit(""))).alias("key"))
-    held = rows.where("record_id <= 1000").groupBy("key").agg(F.max("record_id").alias("record_id"))
-    return co.merge_by_key(held.select("record_id", "key"), rows.where("record_id > 1000"), "key", "record_id")
+    half = rows.agg((F.min("record_id") + F.max("record_id")) / 2).first()[0] or 0
+    held = rows.where(F.col("record_id") <= half).groupBy("key").agg(F.max("record_id").alias("record_id"))
+    return co.merge_by_key(held.select("record_id", "key"), rows.where(F.col("record_id") > half), "key", "record_id")
 
 
 def extract_numbers(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,6 +127,61 @@ def grounding_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return _filing_values(spark, sf).withColumn("n", number).select("figure_id", nm.classify(F.col("n"), F.col("grounded")).alias("kind"))
 
 
+def grounding_derived(spark: SparkSession, sf: str) -> DataFrame:
+    """Statement values that two values of their filing give."""
+    return _filing_values(spark, sf).where(nm.derivation(F.col("statement_value"), F.lit(False), F.col("grounded")).isNotNull()).select("figure_id")
+
+
+_RETRIEVED = "array(named_struct('ticker','AAPL','year',2022,'section','Item 8','chunk',44), named_struct('ticker','AAPL','year',2022,'section','Item 7','chunk',0), named_struct('ticker','AAPL','year',2024,'section','Item 8','chunk',11))"
+_ANSWERS = {
+    "bare": "$391,035", "scaled": "$394,328 million", "billions": "$394.3 billion", "difference": "a decrease of $3,293 million", "sum": "$785,363 million combined", "change": "fell 0.8%", "made_up": "revenue of $450,000 million",
+    "tenfold": "grew 80%", "year": "in 2023", "ordinal": "the 3 sources", "fabricated": "Net sales were $391,035 million.\n\nSources:\n[AAPL | FY2023 | Item 8 | chunk 99] x", "index": "Net sales were $391,035 million.\n\nSources:\n[AAPL | FY2024 | Item 8 | chunk 77] x",
+    "good": "Net sales fell from $394,328 million in FY2022 to $391,035 million in FY2024, a decrease of $3,293 million or 0.8%.\n\nSources:\n[AAPL | FY2022 | Item 8 | chunk 44] x\n[AAPL | FY2024 | Item 8 | chunk 11] x",
+}
+
+
+def grounding_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts on stated answers against stated evidence."""
+    answers = spark.createDataFrame(list(_ANSWERS.items()), "id string, answer string")
+    evidence = answers.withColumn("grounded", F.array(*[F.lit(v) for v in (394328.0, 365817.0, 274515.0, 99803.0, 391035.0, 383285.0, 8.0)])).withColumn("retrieved", F.expr(_RETRIEVED))
+    got = guard.check_answers(evidence, CFG)
+    return got.select("id", "allowed", *[F.col(f"counts.{k}").alias(k) for k in ("exact", "rescaled", "derived", "invented", "skipped")], F.array_join(F.array_sort(F.transform("findings", lambda f: f["rule"])), ",").alias("rules"))
+
+
+def _calls(spark: SparkSession) -> DataFrame:
+    calls = [(1, "AAPL", "2023"), (2, "apple", "FY2023"), (3, "Apple Inc", "2019"), (4, "  ", ""), (5, None, None), (6, "Home Depot", "2030"), (7, "Microsfot", "next"), (8, "Tesla", "2022"), (9, "the bank of america group", "2024"), (10, "googl", " 2024 ")]
+    return spark.createDataFrame(calls, "call_id int, ticker string, year string")
+
+
+def validate_year(spark: SparkSession, sf: str) -> DataFrame:
+    return validation.validate(_calls(spark), CFG).select("call_id", "used_year", F.exists("adjustments", lambda a: a["field"] == "year").alias("adjusted_year"))
+
+
+def validate_ticker_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """Names that are listed or hold a listed one."""
+    return validation.validate(_calls(spark).where("call_id not in (7)"), CFG).select("call_id", "used_ticker")
+
+
+def validate_ticker_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
+    return validation.validate(_calls(spark), CFG).select("call_id", "used_ticker", "adjusted")
+
+
+_STATEMENTS = [
+    ("f1", "income", "Sales to customers  5\nTotal net sales\n  Total net sales  $ 1,234  1,100\nNet income including noncontrolling interests 9\nNet income 8.5 7"), ("f1", "balance", "Total liabilities and equity 70\nTotal liabilities 40\nTotal liabilities and shareholders' equity 70\nTotal shareholders' equity (3)"),
+    ("f1", "cashflow", "Net cash provided by operating activities from continuing operations 1\nNet cash from operating activities (12)\nPurchases of property (7)"), ("f2", "income", "Revenue 10\nTotal revenue\nOperating income per region"), ("f2", "balance", ""), ("f3", "income", None),
+]
+
+
+def line_first_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of stated statements by metric: patterns in order of precedence, then lines in order."""
+    return reconcile.line_values(reconcile.statement_lines(spark.createDataFrame(_STATEMENTS, "filing_id string, statement string, text string")))
+
+
+def clean_query(spark: SparkSession, sf: str) -> DataFrame:
+    q = table(spark, sf, "eval_question").select(F.col("id").alias("query_id"), F.col("question").alias("query"))
+    return rq._parse(spark, sf)(q).select("query_id", "clean_query")
+
+
 def question_guard(spark: SparkSession, sf: str) -> DataFrame:
     q = table(spark, sf, "eval_question").select("id", F.col("question").alias("query"))
     out = guard.check_questions(q, CFG)
@@ -160,16 +227,15 @@ def parse_sections(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _with_meta(spark: SparkSession, sf: str, hits: DataFrame) -> DataFrame:
-    return hits.select("query_id", "key", "rank", "score").join(rq.corpus(spark, sf).select("key", "ticker", "year", "section", "text"), "key")
+    return fusion.with_columns_of(hits.select("query_id", "key", "rank", "score"), rq.corpus(spark, sf), ["ticker", "year", "section", "text"])
 
 
 def _run_a(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.records(_with_meta(spark, sf, lexical.search(rq.corpus(spark, sf), rq.asked(spark, sf), 5)), table(spark, sf, "eval_question"))
+    return evaluate.records(_with_meta(spark, sf, rq._lexical(spark, sf, 5)), table(spark, sf, "eval_question"))
 
 
 def _run_b(spark: SparkSession, sf: str) -> DataFrame:
-    found = fusion.search(rq.corpus(spark, sf), rq.asked(spark, sf), "v3", 5, rq.CFG, parse=rq._parse(spark, sf))
-    return evaluate.records(_with_meta(spark, sf, found), table(spark, sf, "eval_question"))
+    return evaluate.records(_with_meta(spark, sf, rq._search(spark, sf, "v3")), table(spark, sf, "eval_question"))
 
 
 def eval_records(spark: SparkSession, sf: str) -> DataFrame:
@@ -183,6 +249,12 @@ def eval_report(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.report(_run_a(spark, sf)).select("dimension", "value", "n", *[F.round(c, 6).alias(c) for c in _RATES])
 
 
+def eval_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of the printed report by question type."""
+    rows = evaluate.report(_run_a(spark, sf), ("question_type",))
+    return rows.select("dimension", "value", "n", *[formats.pct(F.col(c)).alias(c) for c in ("perfect", "zero", "ticker_hit", "year_hit")])
+
+
 def eval_failures(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.failures(_run_a(spark, sf)).select("query_id", F.array_join("missing", "|").alias("missing"))
 
@@ -192,39 +264,54 @@ def eval_compare(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("query_id", F.round("delta", 6).alias("delta"), "bucket", F.array_join("now_found", "|").alias("now_found"), F.array_join("now_missing", "|").alias("now_missing"), "still_failing")
 
 
-def _judged(spark: SparkSession, sf: str) -> DataFrame:
-    """Records read as answers: found keywords are exact figures, missing ones invented; a question whose year was missed is an error."""
-    counts = F.struct(F.size("found").alias("exact"), F.lit(0).alias("rescaled"), F.lit(0).alias("derived"), F.size("missing").alias("invented"))
-    return _run_a(spark, sf).select("question_type", "section", "ticker", F.when(~F.col("year_hit"), "no year").alias("error"), (F.size("missing") == 0).alias("faithful"), counts.alias("counts"))
+def eval_net(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.net(evaluate.compare(_run_a(spark, sf), _run_b(spark, sf)))
+
+
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers to the questions by their place in the order of ids: right, with an invented figure, with a filing never retrieved, with a wrong chunk, without a citation, and failed."""
+    q = table(spark, sf, "eval_question").withColumn("n", F.row_number().over(Window.orderBy("id")))
+    kind = F.col("n") % 6
+    year = F.when(kind == 2, F.col("year") - 50).otherwise(F.col("year"))
+    chunk = F.when(kind == 3, 9).otherwise(0)
+    cited = F.format_string("\n\nSources:\n[%s | FY%d | %s | chunk %d] x", "ticker", year, "section", chunk)
+    figure = F.when(kind == 1, F.lit(777_777_777)).otherwise(F.lit(1_000_000) + F.col("n") * 1000)
+    answer = F.concat(F.format_string("In 2023 it came to $%s in all.", F.format_number(figure, 0)), F.when(kind == 4, F.lit("")).otherwise(cited))
+    held = F.array(F.struct("ticker", "year", "section", F.lit(0).alias("chunk")))
+    return q.select("id", "ticker", "year", "section", "question_type", F.when(kind == 5, F.lit(None)).otherwise(answer).alias("answer"), F.when(kind == 5, "failed").alias("error"), F.array((F.lit(1_000_000) + F.col("n") * 1000).cast("double")).alias("grounded"), held.alias("retrieved"))
 
 
 def faithfulness_report(spark: SparkSession, sf: str) -> DataFrame:
-    out = evaluate.faithfulness(_judged(spark, sf))
-    return out.select("dimension", "value", "n", "errors", *[F.round(c, 6).alias(c) for c in ("faithful", "with_invented", "grounded_share")], "exact", "invented")
+    runs = _runs(spark, sf).where("ticker is not null and year is not null and section is not null")
+    out = evaluate.faithfulness(evaluate.judge(runs, replace(CFG, symbol_chars=6)))
+    return out.select("dimension", "value", "n", "errors", *[F.round(c, 6).alias(c) for c in ("faithful", "with_invented", "bad_citation", "wrong_index", "no_citation", "grounded_share")], "checked", "exact", "invented", "skipped")
 
 
 QUERIES = {f.__name__: f for f in (
-    latest_filings, filings_missing, chunk_index_totals, inventory, inventory_left_dim, section_missing, sections_clean, by_reference_flag, sentence_split, chunk_pack, token_windows, chunk_ids, upsert_merge,
-    extract_numbers, grounding_exact, grounding_rescaled, grounding_kinds, question_guard, citation_semi, citation_missing, reconcile_status, reconcile_counts, financials, parse_sections,
-    eval_records, eval_report, eval_failures, eval_compare, faithfulness_report,
+    latest_filings, filings_missing, chunk_index_totals, inventory, inventory_left_dim, section_missing, sections_clean, by_reference_flag, sentence_split, chunk_pack, clean_text, ingest_totals, token_windows, chunk_ids, upsert_merge,
+    extract_numbers, grounding_exact, grounding_rescaled, grounding_kinds, grounding_derived, grounding_verdict, validate_year, validate_ticker_exact, validate_ticker_fuzzy, line_first_match, clean_query, question_guard, citation_semi, citation_missing, reconcile_status, reconcile_counts, financials, parse_sections,
+    eval_records, eval_report, eval_table, eval_failures, eval_compare, eval_net, faithfulness_report,
 )}
 
 _LATEST = """latest AS (SELECT * FROM (SELECT upper(trim(ticker, ' ')) AS ticker, TRY_CAST(substr(period_of_report, 1, 4) AS INT) AS year, listing_id, filing_id, filing_date FROM filings WHERE form = '10-K')
     WHERE year IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker, year ORDER BY filing_date DESC NULLS LAST, listing_id) = 1)"""
 _INVENTORY = """SELECT ticker, year, count(*) AS chunks, count(DISTINCT section) AS sections,
     arg_min(company, record_id) FILTER (company IS NOT NULL) AS company, arg_min(period_of_report, record_id) FILTER (period_of_report IS NOT NULL) AS period FROM ingest GROUP BY ticker, year"""
-_REQUIRED = ", ".join(f"('{s[0]}')" for s in dims.SECTIONS if not s[3])
-_NUM = nm.NUMBER.replace("'", "''")
+_REQUIRED = ", ".join(f"('Item {i}')" for i in rq._TWIN_ITEMS if i not in ("1C", "9C", "16"))
+# fixed values of the twins, stated here on their own: numbers in answers, forms of asking for advice, words that name no company, names of companies
+_NUM = r"(?i)(\(|-)?\$?\s?(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.\d+|\d+)\)?\s*(billion|bn|b\b|million|mm|m\b|thousand|k\b|trillion|tn|t\b)?(\s*%|\s*percent)?"
+_ADVICE = r"(?i)\b(should i (buy|sell|invest|hold|own|add)|is\s+\S+(\s+\S+)?\s+a\s+(good|bad|solid|safe|smart)\s+(buy|sell|investment|stock|time|pick|bet)|(good|bad) (investment|buy|stock) (right now|today|now)|worth (buying|investing|a buy|owning)|(recommend|advise)\s+(a\s+|me\s+|buying|selling|investing)|what should i (buy|invest|do with|pick)|price target|will\s+.{0,25}(stock|share|price).{0,25}(go up|go down|rise|fall|beat|outperform)|(predict|forecast)\s+.{0,25}(price|stock|return|performance)|(out|under)perform the market)\b"
+_PLAIN_WORDS = "what which when where how why who does did compare list show tell give summarise summarize describe explain according based the for from in is are was were can could would should risk risks revenue revenues net total cash item sec edgar md a i us usa gaap ceo cfo r ai eps fy q1 q2 q3 q4 it esg ip tv".split()
+_COMPANIES = {
+    "AAPL": ["apple inc", "apple"], "MSFT": ["microsoft corporation", "microsoft"], "JPM": ["jpmorgan chase", "jpmorgan", "jp morgan", "j.p. morgan", "chase"], "JNJ": ["johnson & johnson", "johnson and johnson", "j&j", "johnson"], "WMT": ["walmart inc", "walmart", "wal-mart"],
+    "XOM": ["exxonmobil", "exxon mobil", "exxon"], "GOOGL": ["alphabet inc", "alphabet", "google"], "BAC": ["bank of america", "bofa", "b of a"], "PFE": ["pfizer inc", "pfizer"], "HD": ["home depot", "the home depot"],
+}
 _SCALED = "CASE lower(w) WHEN 'thousand' THEN 1e3 WHEN 'k' THEN 1e3 WHEN 'million' THEN 1e6 WHEN 'mm' THEN 1e6 WHEN 'm' THEN 1e6 WHEN 'billion' THEN 1e9 WHEN 'bn' THEN 1e9 WHEN 'b' THEN 1e9 WHEN 'trillion' THEN 1e12 WHEN 'tn' THEN 1e12 WHEN 't' THEN 1e12 ELSE 1.0 END"
 _VALUES = "vals AS (SELECT filing_id, list(value / 1e6) AS grounded FROM figure WHERE value IS NOT NULL GROUP BY filing_id)"
 _STATUS = """st AS (SELECT f.*, CASE WHEN value IS NULL THEN 'absent' WHEN statement_value IS NULL THEN 'no_line'
     WHEN CASE WHEN metric IN ('stockholders_equity', 'operating_cash_flow', 'capital_expenditures') THEN abs(abs(value / 1e6) - abs(statement_value)) ELSE abs(value / 1e6 - statement_value) END <= 0.005 * greatest(abs(value / 1e6), abs(statement_value), 1.0) THEN 'ok'
     WHEN metric = 'revenue' THEN 'statement' ELSE 'unreconciled' END AS new_status FROM figure f),
 us AS (SELECT *, CASE new_status WHEN 'ok' THEN value WHEN 'statement' THEN statement_value * 1e6 END AS usable_value FROM st)"""
-_PHRASES = "CASE " + " ".join(
-    f"WHEN regexp_matches(lower(question), '\\b{re.escape(p).replace(chr(39), chr(39) * 2)}\\b') THEN '{s}'" for p, s in sorted(dims.SECTION_PHRASES, key=lambda x: -len(x[0]))
-) + " END"
-_ITEMS = ", ".join(f"'{s[0]}'" for s in dims.SECTIONS)
 _RESULT = """, hitrows AS (SELECT h.query_id, h.rank, h.score, c.ticker, c.year, c.section, c.text FROM {} h JOIN corpus c USING (key)),
 agg{n} AS (SELECT query_id, regexp_replace(lower(string_agg(coalesce(text, ''), ' ' ORDER BY rank)), '\\s+', ' ', 'g') AS hay, list(DISTINCT ticker) AS tickers, list(DISTINCT year) AS years, list(DISTINCT section) AS sections, arg_min(score, rank) AS top1 FROM hitrows{n} GROUP BY query_id),
 rec{n} AS (SELECT id AS query_id, ticker, section, question_type, difficulty, answer_keywords AS kw, list_filter(answer_keywords, lambda k: contains(coalesce(hay, ''), regexp_replace(lower(k), '\\s+', ' ', 'g'))) AS found,
@@ -244,8 +331,25 @@ _REPORT = "count(*) AS n, " + ", ".join([
     "round(avg(keyword_hit), 6) AS keyword_hit", "round(avg(CASE WHEN keyword_hit = 1 THEN 1.0 ELSE 0.0 END), 6) AS perfect", "round(avg(CASE WHEN keyword_hit = 0 THEN 1.0 ELSE 0.0 END), 6) AS zero",
     *[f"round(avg(CASE WHEN {c} THEN 1.0 ELSE 0.0 END), 6) AS {c}" for c in ("ticker_hit", "year_hit", "section_hit")], "round(avg(top1_score), 6) AS top1_score",
 ])
-_FAITH = """count(*) FILTER (year_hit) AS n, count(*) FILTER (NOT year_hit) AS errors, round(avg(CASE WHEN year_hit THEN CAST(len(missing) = 0 AS INT) END), 6) AS faithful, round(avg(CASE WHEN year_hit THEN CAST(len(missing) > 0 AS INT) END), 6) AS with_invented,
-    CAST(coalesce(sum(len(found)) FILTER (year_hit), 0) AS BIGINT) AS exact, CAST(coalesce(sum(len(missing)) FILTER (year_hit), 0) AS BIGINT) AS invented, round(CASE WHEN sum(len(found) + len(missing)) FILTER (year_hit) > 0 THEN 1 - sum(len(missing)) FILTER (year_hit) / sum(len(found) + len(missing)) FILTER (year_hit) END, 6) AS grounded_share"""
+_FAITH = """count(*) FILTER (k <> 5) AS n, count(*) FILTER (k = 5) AS errors, round(avg(CASE WHEN k <> 5 THEN CAST(k IN (0, 3, 4) AS INT) END), 6) AS faithful, round(avg(CASE WHEN k <> 5 THEN CAST(k = 1 AS INT) END), 6) AS with_invented,
+    round(avg(CASE WHEN k <> 5 THEN CAST(k = 2 AS INT) END), 6) AS bad_citation, round(avg(CASE WHEN k <> 5 THEN CAST(k = 3 AS INT) END), 6) AS wrong_index, round(avg(CASE WHEN k <> 5 THEN CAST(k = 4 AS INT) END), 6) AS no_citation,
+    round(1 - count(*) FILTER (k = 1) / nullif(count(*) FILTER (k <> 5), 0), 6) AS grounded_share, count(*) FILTER (k <> 5) AS checked, count(*) FILTER (k NOT IN (1, 5)) AS exact, count(*) FILTER (k = 1) AS invented, count(*) FILTER (k <> 5) AS skipped"""
+
+
+_SENTENCES = r"""WITH RECURSIVE t AS (SELECT section_id, trim(text, ' ') AS text FROM filing_section WHERE text IS NOT NULL),
+    m AS (SELECT section_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]["''’”)\]]*)\s+(["''‘“(\[]*[A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS p FROM t),
+    g AS (SELECT section_id, array_to_string(list_transform(p, lambda x: x || CASE WHEN regexp_matches(regexp_extract(x, '([A-Za-z]{1,5})\.["''’”)\]]*\s*$', 1), '^[A-Z]$') OR lower(regexp_extract(x, '([A-Za-z]{1,5})\.["''’”)\]]*\s*$', 1)) IN
+            ('inc', 'corp', 'co', 'ltd', 'llc', 'lp', 'plc', 'no', 'nos', 'vs', 'etc', 'approx', 'est', 'fig', 'mr', 'mrs', 'ms', 'dr', 'jr', 'sr', 'st', 'prof', 'gov', 'dept', 'univ', 'cf', 'al', 'ie', 'eg',
+             'jan', 'feb', 'mar', 'apr', 'jun', 'jul', 'aug', 'sept', 'sep', 'oct', 'nov', 'dec') THEN ' ' ELSE chr(1) END), '') AS j FROM m),
+    glued AS (SELECT section_id, list_filter(list_transform(string_split(j, chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM g)"""
+_KINDS = f"""WITH {_VALUES}, pool AS (SELECT filing_id, list(v ORDER BY abs(v) DESC, v DESC)[:60] AS pool FROM (SELECT DISTINCT filing_id, value / 1e6 AS v FROM figure WHERE value IS NOT NULL) WHERE v <> 0 GROUP BY filing_id),
+    f AS (SELECT figure_id, statement_value AS s, grounded, coalesce(pool, []) AS pool FROM figure JOIN vals USING (filing_id) LEFT JOIN pool USING (filing_id) WHERE statement_value IS NOT NULL),
+    n AS (SELECT *, CASE WHEN s = 0 THEN 0 ELSE CAST(substr(replace(format('{{:.12e}}', abs(s)), '.', ''), 1, 3) AS INT) END AS digits FROM f),
+    made AS (SELECT figure_id, s, unnest([a - b, b - a, a + b, (a - b) / abs(b) * 100, abs(a - b) / abs(b) * 100, a / b * 100, a / b]) AS x FROM (
+        SELECT figure_id, s, pool[i] AS a, unnest(pool[i + 1:]) AS b FROM (SELECT *, unnest(range(1, len(pool) + 1)) AS i FROM n))),
+    hit AS (SELECT DISTINCT figure_id FROM made WHERE abs(s - x) <= 0.005 * greatest(abs(s), abs(x), 1.0)),
+    kinds AS (SELECT n.figure_id, len(list_filter(grounded, lambda g: abs(s - g) <= 0.005 * greatest(abs(s), abs(g), 1.0))) > 0 AS exact,
+        len(list_filter(grounded, lambda g: digits = CASE WHEN g = 0 THEN 0 ELSE CAST(substr(replace(format('{{:.12e}}', abs(g)), '.', ''), 1, 3) AS INT) END)) > 0 AS same, hit.figure_id IS NOT NULL AS derived FROM n LEFT JOIN hit USING (figure_id))"""
 
 
 def _grouped(head: str, body: str, dimensions: tuple[str, ...]) -> str:
@@ -277,16 +381,16 @@ SQL = {
         SELECT id, CASE WHEN bool_or(h.chunk_index = 0) THEN 'strict' ELSE 'loose' END AS kind FROM c JOIN held h USING (ticker, year, section) GROUP BY id""",
     "citation_missing": """WITH held AS (SELECT DISTINCT upper(trim(ticker, ' ')) AS ticker, year, lower(section) AS section FROM ingest WHERE ticker IS NOT NULL AND section IS NOT NULL)
         SELECT id FROM eval_question q WHERE ticker IS NOT NULL AND year IS NOT NULL AND section IS NOT NULL AND length(ticker) <= 6 AND NOT EXISTS (SELECT 1 FROM held h WHERE h.ticker = upper(q.ticker) AND h.year = q.year AND h.section = lower(q.section))""",
-    "question_guard": f"""WITH q AS (SELECT id, question, regexp_matches(question, '{guard.ADVICE}') AS advice, list_distinct(list_transform(regexp_extract_all(question, '\\b(?:19|20)\\d{{2}}\\b'), lambda y: CAST(y AS INT))) AS ys,
-            list_filter(regexp_extract_all(question, '\\b([A-Z][a-z]{{2,}})\\b', 1), lambda w: NOT list_contains([{', '.join(repr(w) for w in guard.NO_SUBJECT)}], lower(w))) AS nouns,
-            len(list_filter(regexp_extract_all(question, '\\b([A-Z]{{2,5}})\\b', 1), lambda w: list_contains([{', '.join(repr(t) for t in dims.ALIASES)}], w))) > 0 OR {' OR '.join(f"contains(lower(question), '{a}')" for own in dims.ALIASES.values() for a in own)} AS known FROM eval_question),
+    "question_guard": f"""WITH q AS (SELECT id, question, regexp_matches(question, '{_ADVICE}') AS advice, list_distinct(list_transform(regexp_extract_all(question, '\\b(?:19|20)\\d{{2}}\\b'), lambda y: CAST(y AS INT))) AS ys,
+            list_filter(regexp_extract_all(question, '\\b([A-Z][a-z]{{2,}})\\b', 1), lambda w: NOT list_contains([{', '.join(repr(w) for w in _PLAIN_WORDS)}], lower(w))) AS nouns,
+            len(list_filter(regexp_extract_all(question, '\\b([A-Z]{{2,5}})\\b', 1), lambda w: list_contains([{', '.join(repr(t) for t in _COMPANIES)}], w))) > 0 OR {' OR '.join(f"contains(lower(question), '{a}')" for own in _COMPANIES.values() for a in own)} AS known FROM eval_question),
         f AS (SELECT id, advice, len(ys) > 0 AND len(list_intersect(ys, [2022, 2023, 2024])) = 0 AS outside, NOT known AND len(nouns) > 0 AS unknown FROM q)
         SELECT id, NOT (advice OR outside) AS allowed, CAST(advice AS INT) + CAST(outside AS INT) + CAST(unknown AS INT) AS findings FROM f""",
     "reconcile_status": f"WITH {_STATUS} SELECT figure_id, new_status, round(usable_value, 2) AS usable_value FROM us",
     "reconcile_counts": f"WITH {_STATUS} SELECT metric, new_status, count(*) AS n FROM us GROUP BY ALL",
     "financials": f"""WITH {_STATUS}, one AS (SELECT ticker, year, metric, arg_max(usable_value IS NOT NULL, (extracted_at, figure_id)) AS usable FROM us GROUP BY ALL)
         SELECT ticker, year, coalesce(string_agg(metric, ',' ORDER BY metric) FILTER (usable), '') AS metrics, coalesce(string_agg(metric, ',' ORDER BY metric) FILTER (NOT usable), '') AS unavailable FROM one GROUP BY ALL""",
-    "parse_sections": rf"""SELECT id AS query_id, CASE WHEN concat('Item ', upper(regexp_replace(regexp_extract(question, '(?i)\bitem\s+(\d{{1,2}}\s*[a-c]?)\b', 1), '\s+', ''))) IN ({_ITEMS}) THEN concat('Item ', upper(regexp_replace(regexp_extract(question, '(?i)\bitem\s+(\d{{1,2}}\s*[a-c]?)\b', 1), '\s+', ''))) ELSE {_PHRASES} END AS p_section,
+    "parse_sections": rf"""SELECT id AS query_id, {rq._SECTION_OF.replace('query', 'question')} AS p_section,
         CAST(least(greatest(coalesce(f, list_max(fy), list_max(b)), 2010), 2024) AS INT) AS p_year, CASE WHEN f IS NOT NULL THEN 'filing' WHEN len(fy) > 0 THEN 'fiscal' WHEN len(b) > 0 THEN 'bare' END AS year_source
         FROM (SELECT *, CAST(nullif(regexp_extract(question, '(?i)\b((?:19|20)\d{{2}})\s+(?:(?:form\s+)?10-?k|annual\s+report)\b', 1), '') AS INT) AS f,
             list_transform(regexp_extract_all(question, '(?i)(?:fiscal(?:\s+year)?|fy)\s*((?:19|20)\d{{2}})', 1), lambda y: CAST(y AS INT)) AS fy, list_transform(regexp_extract_all(question, '\b((?:19|20)\d{{2}})\b', 1), lambda y: CAST(y AS INT)) AS b FROM eval_question)""",
@@ -295,5 +399,36 @@ SQL = {
     "eval_failures": _A + " SELECT query_id, array_to_string(missing, '|') AS missing FROM runa WHERE keyword_hit < 0.5",
     "eval_compare": _AB + """ SELECT query_id, round(b.keyword_hit - a.keyword_hit, 6) AS delta, CASE WHEN b.keyword_hit - a.keyword_hit > 1e-9 THEN 'improved' WHEN b.keyword_hit - a.keyword_hit < -1e-9 THEN 'regressed' ELSE 'unchanged' END AS bucket,
         array_to_string(list_filter(b.found, lambda k: NOT list_contains(a.found, k)), '|') AS now_found, array_to_string(list_filter(a.found, lambda k: NOT list_contains(b.found, k)), '|') AS now_missing, a.keyword_hit < 0.5 AND b.keyword_hit < 0.5 AS still_failing FROM runa a JOIN runb b USING (query_id)""",
-    "faithfulness_report": _grouped(_A, _FAITH, ("question_type", "section", "ticker")),
+    "eval_table": _A + "".join(f"{u} SELECT '{d}' AS dimension, {v} AS value, count(*) AS n, " + ", ".join(f"printf('%.1f%%', 100 * avg(CASE WHEN {c} THEN 1.0 ELSE 0.0 END)) AS {n}" for c, n in (("keyword_hit = 1", "perfect"), ("keyword_hit = 0", "zero"), ("ticker_hit", "ticker_hit"), ("year_hit", "year_hit"))) + f" FROM runa {g}" for u, d, v, g in (("", "all", "'all'", ""), (" UNION ALL", "question_type", "question_type", "GROUP BY question_type"))),
+    "eval_net": _AB + """, cmp AS (SELECT CASE WHEN b.keyword_hit - a.keyword_hit > 1e-9 THEN 'improved' WHEN b.keyword_hit - a.keyword_hit < -1e-9 THEN 'regressed' ELSE 'unchanged' END AS bucket FROM runa a JOIN runb b USING (query_id))
+        SELECT v.bucket, count(cmp.bucket) AS n FROM (VALUES ('improved'), ('regressed'), ('unchanged'), ('only_a'), ('only_b')) v(bucket) LEFT JOIN cmp USING (bucket) GROUP BY v.bucket""",
+    "faithfulness_report": _grouped("WITH runa AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY id) % 6 AS k FROM eval_question) WHERE ticker IS NOT NULL AND year IS NOT NULL AND section IS NOT NULL)", _FAITH, ("question_type", "section", "ticker")),
+    "ingest_totals": """WITH r AS (SELECT upper(trim(ticker, ' ')) AS ticker, filing_id, section, is_sparse, incorporated_by_reference FROM ingest WHERE ticker IS NOT NULL)
+        SELECT ticker, count(DISTINCT filing_id) AS filings, count(DISTINCT (filing_id, section)) FILTER (filing_id IS NOT NULL AND section IS NOT NULL) AS sections, count(*) AS chunks, count(*) FILTER (is_sparse) AS sparse, count(*) FILTER (incorporated_by_reference) AS by_reference FROM r GROUP BY ticker
+        UNION ALL SELECT 'all', count(DISTINCT filing_id), count(DISTINCT (ticker, filing_id, section)) FILTER (filing_id IS NOT NULL AND section IS NOT NULL), count(*), count(*) FILTER (is_sparse), count(*) FILTER (incorporated_by_reference) FROM r""",
+    "sentence_split": _SENTENCES + """ SELECT section_id, CAST(unnest(range(len(s))) AS INTEGER) AS sentence_no, unnest(s) AS sentence FROM glued""",
+    "chunk_pack": _SENTENCES.replace("trim(text, ' ') AS text", r"trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text") + r""",
+        said AS (SELECT section_id, unnest(range(len(s))) AS i, unnest(list_transform(s, lambda x: regexp_extract_all(x, '[\p{L}\p{N}_]{1,20}|[^\p{L}\p{N}_ \t\n\r\f\v]'))) AS w FROM glued),
+        parts AS (SELECT section_id, i, 0 AS k, w FROM said WHERE len(w) <= 512 UNION ALL SELECT section_id, i, k, w[k * 64 + 1:k * 64 + 64] FROM (SELECT *, unnest(range((len(w) + 63) // 64)) AS k FROM said WHERE len(w) > 512)),
+        sizes AS (SELECT section_id, list(len(w) ORDER BY i, k) AS n, list(length(array_to_string(w, '')) ORDER BY i, k) AS c FROM parts GROUP BY section_id),
+        sums AS (SELECT section_id, n, len(n) AS parts, [0] || list_transform(n, lambda x, j: list_sum(n[1:j])) AS s, [0] || list_transform(c, lambda x, j: list_sum(c[1:j])) AS cs FROM sizes),
+        walk AS (SELECT section_id, 0 AS i, 0 AS first, 0 AS start, false AS flushed, 0 AS held FROM sums
+            UNION ALL SELECT section_id, i + 1, first, start, flushed, s[i + 2] - s[first + 1] FROM (
+                SELECT w.section_id, i, s, parts, start0 AS start, flushed, CASE WHEN flushed THEN coalesce(list_max(list_filter(range(first0, i), lambda j: s[i + 1] - s[j + 1] >= 64)), first0) ELSE first0 END AS first
+                FROM (SELECT walk.section_id, i, s, parts, first AS first0, first AS start0, i > first AND held + n[i + 1] > 512 AS flushed FROM walk JOIN sums USING (section_id) WHERE i < parts) w)),
+        ends AS (SELECT section_id, start AS a, i - 1 AS b FROM walk WHERE flushed UNION ALL SELECT section_id, first, i FROM walk JOIN sums USING (section_id) WHERE i = parts)
+        SELECT section_id, CAST(row_number() OVER (PARTITION BY section_id ORDER BY b) - 1 AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY section_id) AS INTEGER) AS total_chunks_in_section, CAST(cs[b + 1] - cs[a + 1] AS INTEGER) AS characters FROM ends JOIN sums USING (section_id)""",
+    "grounding_kinds": _KINDS + " SELECT figure_id, CASE WHEN exact THEN 'exact' WHEN same THEN 'rescaled' WHEN derived THEN 'derived' ELSE 'invented' END AS kind FROM kinds",
+    "grounding_derived": _KINDS + " SELECT figure_id FROM kinds WHERE derived",
+    "grounding_verdict": """SELECT * FROM (VALUES ('bare', true, 1, 0, 0, 0, 0, 'citations_missing'), ('scaled', true, 1, 0, 0, 0, 0, 'citations_missing'), ('billions', true, 0, 1, 0, 0, 0, 'citations_missing,numeric_grounding'), ('difference', true, 0, 0, 1, 0, 0, 'citations_missing'),
+        ('sum', true, 0, 0, 1, 0, 0, 'citations_missing'), ('change', true, 0, 0, 1, 0, 0, 'citations_missing'), ('made_up', false, 0, 0, 0, 1, 0, 'citations_missing,numeric_grounding'), ('tenfold', false, 0, 0, 0, 1, 0, 'citations_missing,numeric_grounding'), ('year', true, 0, 0, 0, 0, 1, 'citations_missing'), ('ordinal', true, 0, 0, 0, 0, 1, 'citations_missing'),
+        ('fabricated', false, 1, 0, 0, 0, 0, 'citations'), ('index', true, 1, 0, 0, 0, 0, 'citation_index'), ('good', true, 2, 0, 2, 0, 2, '')) v(id, allowed, exact, rescaled, derived, invented, skipped, rules)""",
+    "validate_year": "SELECT * FROM (VALUES (1, 2023, false), (2, 2023, true), (3, 2022, true), (4, NULL, false), (5, NULL, false), (6, 2024, true), (7, NULL, true), (8, 2022, false), (9, 2024, false), (10, 2024, false)) v(call_id, used_year, adjusted_year)",
+    "validate_ticker_exact": "SELECT * FROM (VALUES (1, 'AAPL'), (2, 'AAPL'), (3, 'AAPL'), (4, NULL), (5, NULL), (6, 'HD'), (8, NULL), (9, 'BAC'), (10, 'GOOGL')) v(call_id, used_ticker)",
+    "line_first_match": "SELECT * FROM (VALUES ('f1', 'revenue', 1234.0::DOUBLE), ('f1', 'net_income', 8.5), ('f1', 'total_liabilities', 40.0), ('f1', 'stockholders_equity', -3.0), ('f1', 'operating_cash_flow', -12.0), ('f1', 'capital_expenditures', -7.0), ('f2', 'revenue', 10.0)) v(filing_id, metric, line_value)",
+    "clean_query": rq._BASE + r""", own AS (SELECT ticker, string_agg(regexp_escape(alias), '|' ORDER BY length(alias) DESC, alias) AS p FROM names WHERE alias <> '' GROUP BY ticker),
+        m0 AS (SELECT q0.query_id, query, CASE WHEN p IS NULL THEN query ELSE regexp_replace(query, '(?i)\b(?:' || p || ')\b', chr(1), 'g') END AS m FROM q0 LEFT JOIN parsed USING (query_id) LEFT JOIN own ON own.ticker = p_ticker),
+        m1 AS (SELECT query_id, query, regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, '(?i)\b(?:19|20)\d{2}\s+(?:(?:form\s+)?10-?k|annual\s+report)\b', chr(1), 'g'), '(?i)(?:fiscal(?:\s+year)?|fy)\s*(?:19|20)\d{2}', chr(1), 'g'), '\b(?:19|20)\d{2}\b', chr(1), 'g'), '(?i)\b(?:last|prior|previous|this|current)\s+year\b', chr(1), 'g') AS m FROM m0),
+        m2 AS (SELECT query_id, query, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, '(?i)(?:\b(?:at the end of|during|for|in|of)(?:\s+the)?\s+)?(?:\x01(?:''s)?\s*)+([?])', '\1', 'g'), '\x01(?:''s)?', ' ', 'g'), '\s+', ' ', 'g'), ' ([?.,])', '\1', 'g'), ' ') AS m FROM m1)
+        SELECT query_id, CASE WHEN m = '' THEN query ELSE m END AS clean_query FROM m2""",
 }

@@ -33,6 +33,7 @@ class Settings:
     derive_limit: int = 60
     trivial_max: int = 12
     fuzzy_cutoff: float = 0.75
+    symbol_chars: int = 5
     extra: dict = field(default_factory=dict)
 
     @staticmethod

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strata.functions import ids, units
 from strata.functions import numbers as nm
 from strata.functions import text as tx
-from strata.operators import corpus, dense, evaluate, fusion, guard, lexical, predicates, quantities, questions, reconcile, skew, validation
+from strata.operators import chunking, corpus, dense, evaluate, fusion, guard, lexical, predicates, quantities, questions, reconcile, skew, validation
 from strata.settings import Settings
 
 
@@ -209,7 +209,7 @@ def test_questions_are_checked(spark):
     assert [f["rule"] for f in got["Tesla revenue in 2023"]["findings"]] == ["scope"]
 
 
-ANSWERS = [("Sales were $394,328 million [AAPL | FY2022 | Item 8 | chunk 44].\nSources: 1, 999", True, set()), ("Sales were $412,900 million [AAPL | FY2022 | Item 8 | chunk 44]", False, {"numeric"}), ("Sales were $394,328 million [AAPL | FY2023 | Item 8 | chunk 99]", False, {"citation"}),
+ANSWERS = [("Sales were $394,328 million [AAPL | FY2022 | Item 8 | chunk 44].\nSources: 1, 999", True, set()), ("Sales were $412,900 million [AAPL | FY2022 | Item 8 | chunk 44]", False, {"numeric_grounding"}), ("Sales were $394,328 million [AAPL | FY2023 | Item 8 | chunk 99]", False, {"citations"}),
      ("Sales were $394,328 million", True, {"citations_missing"}), ("Sales were $394,328 million [AAPL | FY2022 | Item 8 | chunk 77]", True, {"citation_index"})]
 
 
@@ -221,6 +221,26 @@ def test_answers_are_checked(spark):
     assert got == {a: (ok, rules) for a, ok, rules in ANSWERS}
 
 
+def test_reasons_and_report(spark):
+    df = spark.createDataFrame([("It fell by $3,293 million to $9,999,999.", GROUNDED, [])], "answer string, grounded array<double>, retrieved array<struct<ticker:string,year:int,section:string,chunk:int>>")
+    r = guard.report_text(guard.check_answers(df)).first()
+    assert [(k["kind"], k["reason"]) for k in r["kinds"]] == [("derived", "394328.0 - 391035.0"), ("invented", None)]
+    assert r["report"].startswith("figures: 0 exact, 0 rescaled, 1 derived, 1 unsupported (0 skipped)\n[block] numeric_grounding: $9,999,999")
+
+
+def test_clean_question_and_discussion(spark):
+    q = spark.createDataFrame([("What was Apple's revenue in fiscal 2023?",), ("What does the management discussion say?",), ("Apple",), ("Which risks of J.P. Morgan in its 2023 Form 10-K, and why?",), (None,)], "query string")
+    got = [(r["clean_query"], r["p_section"]) for r in questions.parse_questions(q).collect()]
+    assert got == [("What was revenue?", "Item 7"), ("What does the management discussion say?", "Item 7"), ("Apple", None), ("Which risks of in its, and why?", "Item 1A"), ("", None)]
+
+
+def test_cells(spark):
+    from strata.functions import formats
+
+    df = spark.createDataFrame([(0.5, 0.0), (1.0, -0.0123)], "r double, d double")
+    assert [tuple(x) for x in df.select(formats.pct(F.col("r")), formats.delta(F.col("d")), formats.delta(F.col("d"), False)).collect()] == [("50.0%", "--", "--"), ("100.0%", "-1.2pp", "-0.012")]
+
+
 # figures
 
 
@@ -242,40 +262,70 @@ def test_statement_lines_by_precedence(spark):
 # corpus
 
 
-def pack_plain(sentences, counts, size, overlap):
+def pack_plain(counts, size, overlap):
     out, cur = [], []
-    for s, n in zip(sentences, counts):
-        if cur and sum(k for _, k in cur) + n > size:
-            out.append(" ".join(x for x, _ in cur))
+    for i, n in enumerate(counts):
+        if cur and sum(counts[k] for k in cur) + n > size:
+            out.append((cur[0], i))
             tail = []
             for u in reversed(cur):
-                if overlap <= 0 or sum(k for _, k in tail) >= overlap:
+                if overlap <= 0 or sum(counts[k] for k in tail) >= overlap:
                     break
                 tail.insert(0, u)
             cur = tail
-        cur.append((s, n))
-    return out + ([" ".join(x for x, _ in cur)] if cur else [])
+        cur.append(i)
+    return out + ([(cur[0], len(counts))] if cur else [])
 
 
 def test_packing_equals_a_plain_loop():
-    random.seed(11)
+    rnd = random.Random(11)
     for _ in range(200):
-        counts = [random.randint(1, 9) for _ in range(random.randint(0, 30))]
-        sentences = [f"s{i}" for i in range(len(counts))]
+        counts = [rnd.randint(1, 9) for _ in range(rnd.randint(0, 30))]
         for overlap in (0, 3, 8):
-            assert corpus.pack_sentences(sentences, counts, 10, overlap) == pack_plain(sentences, counts, 10, overlap)
+            assert chunking.pack(counts, 10, overlap) == pack_plain(counts, 10, overlap)
+
+
+CHUNKED = [
+    "Total Net Revenue, Row0 É0 and Ünï. " * 300, "No end in sight É0 " * 900, "日本語のテキスト" * 350, "x" * 9000, "He said “no.” Next one in the U.S. Market came. " * 90, "a\n\nb.\tC  d! " * 400, "Short.", "é", "Да. Нет! " * 700,
+]
+
+
+@pytest.mark.parametrize("text", CHUNKED)
+@pytest.mark.parametrize(("size", "overlap"), [(100, 20), (50, 0), (512, 64)])
+def test_every_character_is_in_a_chunk(text, size, overlap):
+    tokens, text = chunking.words_and_signs(), text.strip()
+    places = chunking.chunk_places(text, tokens, size, overlap)
+    assert chunking.chunk_text(f" {text}\n", tokens, size, overlap) == [text[a:b].strip() for a, b in places] and places[0][0] == 0 and places[-1][1] == len(text)
+    for (a, b), (c, d) in zip(places, places[1:]):
+        assert a < c and b < d and (c <= b or not text[b:c].strip())
+    assert all(len(tokens(text[a:b])) <= 2 * size for a, b in places)
+    if overlap == 0:
+        assert sum(len(tokens(text[a:b])) for a, b in places) == len(tokens(text))
+
+
+def test_overlap_of_long_sentences_comes_once():
+    text = " ".join(f"w{i}" for i in range(1000))
+    chunks = chunking.chunk_text(text, chunking.words_and_signs(), 100, 20)
+    starts = [int(c.split()[0][1:]) for c in chunks]
+    assert all(len(c.split()) == 100 for c in chunks[:-1]) and {b - a for a, b in zip(starts, starts[1:])} == {80}
+
+
+def test_a_model_brings_its_tokenizer(spark):
+    df = spark.createDataFrame([("f", "Item 7", "abcdefghij", "x"), ("f", "Item 8", None, "x"), ("f", "Item 9", "", "x")], "filing_id string, item string, text string, point_id string")
+    got = chunking.chunk_sections(df, Settings(chunk_tokens=4, chunk_overlap=0), lambda: lambda text: [(i, i + 1) for i in range(len(text))]).collect()
+    assert [(r["item"], r["chunk_index"], r["total_chunks_in_section"], r["text"]) for r in sorted(got, key=lambda r: r["chunk_index"])] == [("Item 7", 0, 3, "abcd"), ("Item 7", 1, 3, "efgh"), ("Item 7", 2, 3, "ij")]
 
 
 def test_token_windows_cover(spark):
     for n, size, overlap in ((0, 4, 1), (3, 4, 1), (4, 4, 1), (11, 4, 1), (9, 3, 5)):
-        w = spark.createDataFrame([([str(i) for i in range(n)],)], "t array<string>").select(corpus.token_windows(F.col("t"), size, overlap)).first()[0]
+        w = spark.createDataFrame([([str(i) for i in range(n)],)], "t array<string>").select(chunking.token_windows(F.col("t"), size, overlap)).first()[0]
         assert {x for s in w for x in s} == {str(i) for i in range(n)} and all(len(s) <= size for s in w)
 
 
 def test_chunks_have_stable_keys(spark):
     text = " ".join(f"Sentence number {i} has some words in it." for i in range(200))
     df = spark.createDataFrame([("f", "Item 7", text), ("f", "Item 1", "Short."), ("f", "Item 4", " ")], "filing_id string, item string, text string")
-    a, b = (corpus.chunk_sections(df, Settings(chunk_tokens=100, chunk_overlap=20)).collect() for _ in range(2))
+    a, b = (chunking.chunk_sections(df, Settings(chunk_tokens=100, chunk_overlap=20)).collect() for _ in range(2))
     assert sorted(r["point_id"] for r in a) == sorted(r["point_id"] for r in b) and len({r["point_id"] for r in a}) == len(a)
     long = sorted((r for r in a if r["item"] == "Item 7"), key=lambda r: r["chunk_index"])
     assert [r["chunk_index"] for r in long] == list(range(long[0]["total_chunks_in_section"])) and all(f"number {i} " in " ".join(r["text"] for r in long) for i in range(200))
@@ -321,8 +371,19 @@ def test_names_are_validated(spark):
     assert difflib.SequenceMatcher(None, "appel", "apple").ratio() >= 0.75
 
 
+def test_latency_and_net_counts(spark):
+    questions = spark.createDataFrame([(i, "T", 2022, "Item 1", ["w1", "w2"], "t", "easy", "x") for i in "abc"], "id string, ticker string, year int, section string, answer_keywords array<string>, question_type string, difficulty string, latency_ms string")
+    hits = lambda *rows: spark.createDataFrame([(*r, "T", 2022, "Item 1") for r in rows], "query_id string, rank int, score double, text string, ticker string, year int, section string")
+    times = spark.createDataFrame([("a", 10.0), ("b", 30.0)], "query_id string, latency_ms double")
+    x = evaluate.records(hits(("a", 1, 0.5, "w1"), ("b", 1, 0.5, "W1 w2")), questions, times)
+    y = evaluate.records(hits(("a", 1, 0.5, "w1 w2"), ("a", 2, 0.4, "z"), ("b", 1, 0.5, "none")), questions)
+    assert [r["latency_ms"] for r in evaluate.report(x).where("dimension = 'all'").collect()] == [20.0]
+    assert {r["query_id"]: r["num_results"] for r in y.collect()} == {"a": 2, "b": 1, "c": 0} and [h["rank"] for h in y.where("query_id = 'a'").first()["retrieved"]] == [1, 2]
+    assert {r["bucket"]: r["n"] for r in evaluate.net(evaluate.compare(x, y)).collect()} == {"improved": 1, "regressed": 1, "unchanged": 1, "only_a": 0, "only_b": 0}
+
+
 def test_reports_of_nothing(spark):
-    schema = "query_id string, ticker string, section string, question_type string, difficulty string, keyword_hit double, ticker_hit boolean, year_hit boolean, section_hit boolean, top1_score double"
+    schema = "query_id string, ticker string, section string, question_type string, difficulty string, keyword_hit double, ticker_hit boolean, year_hit boolean, section_hit boolean, top1_score double, latency_ms double"
     got = evaluate.report(spark.createDataFrame([], schema)).collect()
     assert [(r["dimension"], r["n"]) for r in got] in ([], [("all", 0)])
 
@@ -496,7 +557,7 @@ def test_stream_ingests_once(spark, tmp_path):
     ingest.start(spark, landing, target, state, schema).awaitTermination(120)
     rows.coalesce(1).write.mode("append").parquet(landing)
     ingest.start(spark, landing, target, state, schema).awaitTermination(120)
-    assert sorted(r["text"] for r in spark.read.parquet(f"{target}/v=1").collect()) == ["b", "c"]
+    assert sorted(r["text"] for r in ingest.read(spark, target).collect()) == ["b", "c"]
 
 
 def test_no_pattern_uses_lookaround_in_sql():

@@ -41,7 +41,7 @@ def test_every_version_answers(spark, engine):
     q = ask(spark, ("a", "What was Apple's revenue in 2023?", None, None, None)).select("query_id", "query", "query_vector")
     for version in ("v1", "v2", "v3", "v4"):
         top = engine.search(q, version).orderBy("rank").first()
-        assert top["key"] == 1, version
+        assert top["key"] in ((1, 2, 3) if version in ("v1", "v2") else (1,)), version  # unscoped, the stand-in encoder only counts words
 
 
 def test_corpus_and_financials(spark, engine):
@@ -86,3 +86,50 @@ def test_settings_from_the_environment(monkeypatch):
     monkeypatch.setenv("STRATA_LEXICAL_WEIGHT", "0.5")
     s = Settings.from_env()
     assert (s.top_k, s.lexical_weight, s.rrf_k) == (7, 0.5, 60)
+
+
+def test_stored_index_gives_the_same_results(spark, engine, tmp_path):
+    from strata.operators import lexical
+
+    q = spark.createDataFrame([("a", "phones revenue phones", "AAPL", 2023), ("b", "revenue", None, None), ("c", "", None, None), ("d", None, None, None), ("e", "absent words", None, None)], "query_id string, query string, q_ticker string, q_year int")
+    plain = lexical.search(engine.chunks, q, 5).collect()
+    first = engine.chunks.where("key <= 2")
+    lexical.write(first, str(tmp_path / "i"))
+    index = lexical.append(engine.chunks.where("key > 2"), str(tmp_path / "i"))
+    assert sorted(map(tuple, lexical.search(engine.chunks, q, 5, index=index).collect())) == sorted(map(tuple, plain)) and {r["query_id"] for r in plain} == {"a", "b"}
+    assert lexical.search(engine.chunks.limit(0), q, 5).count() == 0
+
+
+def test_command_line(spark, engine, tmp_path, capsys, monkeypatch):
+    from strata import __main__ as cli
+
+    monkeypatch.setattr(type(spark), "stop", lambda self: None)
+    sections = spark.createDataFrame([("f1", "Item 7", "Sales of phones grew strongly this year. " * 30, "AAPL", 2023), ("f1", "Item 4", "None.", "AAPL", 2023), ("f2", "Item 1A", "Risks of supply remain high. " * 20, "PFE", 2022)], "filing_id string, item string, text string, ticker string, year int")
+    at = lambda x: str(tmp_path / x)
+    sections.write.parquet(at("sections"))
+    labelled = spark.createDataFrame([("q1", "Which sales grew?", "AAPL", 2023, "Item 7", ["phones"], "factual", "easy"), ("q2", "What risks?", "PFE", 2022, "Item 1A", ["supply"], "factual", "hard")], "id string, question string, ticker string, year int, section string, answer_keywords array<string>, question_type string, difficulty string")
+    labelled.write.parquet(at("questions"))
+    runs = spark.createDataFrame([("q1", "It was $5,000 in all. [AAPL | FY2023 | Item 7 | chunk 0]", None, [5000.0], [("AAPL", 2023, "Item 7", 0)], "factual", "Item 7", "AAPL"), ("q2", None, "failed", [], [], "factual", "Item 1A", "PFE")], "id string, answer string, error string, grounded array<double>, retrieved array<struct<ticker:string,year:int,section:string,chunk:int>>, question_type string, section string, ticker string")
+    runs.write.parquet(at("runs"))
+    for argv in (["ingest", at("sections"), at("chunks")], ["index", at("chunks"), at("index")], ["search", at("chunks"), "sales of phones", "--retrieval", "v2", "--index", at("index"), "--ticker", "AAPL"],
+                 ["evaluate", at("chunks"), at("questions"), "--retrieval", "v2", "--output", at("a")], ["evaluate", at("chunks"), at("questions"), "--use-filters", "--output", at("b")], ["compare", at("a"), at("b")], ["judge", at("runs")], ["list"]):
+        assert cli.main(argv) == 0
+    said = capsys.readouterr().out
+    assert "[AAPL | FY2023 | Item 7]" in said and "50.0%" not in said.split("bucket")[0][-5:] and "search_v3" in said
+    with pytest.raises(SystemExit):
+        cli.main(["run", "nothing", str(tmp_path)])
+
+
+def test_spans_and_statements(spark, engine, tmp_path):
+    from strata.operators import predicates
+
+    q = spark.createDataFrame([("a", "phones"), ("b", "x")], "query_id string, query string")
+    hits = spark.createDataFrame([("a", 1, 0.5, "F", "AAPL", 2023, "Item 7", 0, "text")], "query_id string, rank int, score double, filing_id string, ticker string, year int, section string, chunk_index int, text string")
+    spans = {r["query_id"]: json.loads(r["span"]) for r in io.span_records(hits, q, "v1", predicates.describe_filters(ticker="AAPL")).collect()}
+    assert spans["a"]["retrieval.documents"][0]["document.id"] == "F|Item 7|0" and spans["a"]["retrieval.filter.ticker"] == "AAPL" and spans["b"]["retrieval.result_count"] == 0
+    (tmp_path / "F").mkdir()
+    (tmp_path / "F" / "income.txt").write_text("Total revenue 5\nx")
+    (tmp_path / "F" / "balance.txt").write_text(" ")
+    assert [tuple(r) for r in io.read_statements(spark, str(tmp_path)).collect()] == [("F", "income", "Total revenue 5\nx")]
+    told = {r["query_id"]: r["rendered"] for r in engine.financials_tool(spark.createDataFrame([("a", "Apple", "2023"), ("b", "zzz", "2023"), ("c", "AAPL", "2022")], "query_id string, ticker string, year string")).collect()}
+    assert "revenue" in told["a"] and "100" in told["a"] and told["b"].startswith("Both a company") and told["c"].startswith("No figures of AAPL FY2022")
