@@ -195,15 +195,16 @@ def residual(docs: DataFrame, cfg: ResidueConfig = ResidueConfig()) -> DataFrame
     Blank lines are never furniture. A furniture line next to a line of the record's own stays in the text as well, since both may be one wrapped sentence.
     """
     known = docs.join(small_side(cut(furniture(docs, cfg))), "host", "left")
-    # lines and forms are zipped, so that the forms of a text are made once and not once for each of its lines
-    zipped = F.arrays_zip(F.split("text", "\n", -1).alias("line"), _forms(F.col("text")).alias("form"))
+    # most records hold no furniture and pass as they are; lines and forms are zipped, so that the forms of a text are made once
+    zipped = F.arrays_zip(F.split("text", "\n", -1).alias("line"), F.col("_f").alias("form"))
     marked = F.transform(zipped, lambda s: F.struct(s["line"].alias("line"), (F.trim(s["line"]) == "").alias("blank"), F.array_contains("lines", s["form"]).alias("often")))
     own = lambda x: ~x["blank"] & ~x["often"]
     beside = lambda i: F.coalesce(own(F.get("_l", i)), F.lit(False))
     kept = F.filter("_l", lambda x, i: x["blank"] | ~x["often"] | beside(i - 1) | beside(i + 1))
     gone = F.filter("_l", lambda x: ~x["blank"] & x["often"])
     text_of = lambda a: F.array_join(F.transform(a, lambda x: x["line"]), "\n")
-    lined = known.select("id", "text", F.when(F.col("lines").isNotNull(), marked).alias("_l"))
+    formed = known.select("id", "text", "lines", F.when(F.col("lines").isNotNull(), _forms(F.col("text"))).alias("_f"))
+    lined = formed.select("id", "text", F.when(F.arrays_overlap("_f", "lines"), marked).alias("_l"))
     return lined.select("id", F.when(F.col("_l").isNull(), F.col("text")).otherwise(text_of(kept)).alias("text"), F.when(F.size(gone) > 0, text_of(gone)).alias("recurring"))
 
 
