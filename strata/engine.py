@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata import dims
-from strata.operators import corpus, evaluate, fusion, guard, lexical, predicates, questions, reconcile, validation
+from strata.operators import corpus, evaluate, fusion, guard, lexical, planner, predicates, questions, reconcile, validation
 from strata.settings import Settings
 from strata.sources import io
 
@@ -85,6 +85,10 @@ class Engine:
             raise ValueError("this engine was made without figures")
         return reconcile.financials(reconcile.reconcile(self.figures, self.settings))
 
+    def plan(self, queries: DataFrame) -> DataFrame:
+        """Tool calls that questions need, by rule."""
+        return planner.plan_calls(queries, self.settings, self.aliases)
+
     def check_questions(self, queries: DataFrame) -> DataFrame:
         return guard.check_questions(queries, self.settings, self.aliases)
 

@@ -68,6 +68,12 @@ def tokenize_counts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "ingest").select("record_id", F.size(tx.tokenize(F.col("text"))).alias("tokens"))
 
 
+def exact_count(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks that an unscoped search may see, and all."""
+    seen = F.count_if(predicates.scope())
+    return corpus(spark, sf).agg(F.count("*").alias("chunks"), seen.alias("searched"))
+
+
 def bm25_terms(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.build(corpus(spark, sf)).terms.select("term", "df", F.round("idf", 9).alias("idf"))
 
@@ -166,7 +172,7 @@ def relevance_floor(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    hybrid_v2, tokenize_counts, bm25_terms, bm25_topn, bm25_topn_filtered, dense_topk, dense_topk_filtered, vector_topk, rrf_weighted, fusion_agreement, parse_symbols, search_v3, search_v3_section, section_quota, quota_v4_pool,
+    hybrid_v2, tokenize_counts, exact_count, bm25_terms, bm25_topn, bm25_topn_filtered, dense_topk, dense_topk_filtered, vector_topk, rrf_weighted, fusion_agreement, parse_symbols, search_v3, search_v3_section, section_quota, quota_v4_pool,
     rerank_overlap, search_v4, rescued, relevance_floor,
 )}
 
@@ -255,6 +261,7 @@ _V4 = _BASE + _fused(f"{_FLAGS} AND {_PARSED}", 60) + ", pool AS (SELECT top.que
 SQL = {
     "hybrid_v2": _BASE + _fused(_FLAGS, 5) + "SELECT query_id, key, CAST(rank AS INT) AS rank, round(score, 9) AS score, CAST(coalesce(dense_rank, 0) AS INT) AS dense_rank, CAST(coalesce(lexical_rank, 0) AS INT) AS lexical_rank, retrievers FROM top",
     "tokenize_counts": f"SELECT record_id, CAST(len({_TOK.format('text')}) AS INT) AS tokens FROM ingest",
+    "exact_count": f"SELECT count(*) AS chunks, count(*) FILTER ({_FLAGS}) AS searched FROM ingest",
     "bm25_terms": _BASE + "SELECT term, df, round(idf, 9) AS idf FROM idfs",
     "bm25_topn": _BASE + _HITS + f"({_ranked('bm', 'true', 10)})",
     "bm25_topn_filtered": _BASE + _HITS + f"({_ranked('bm', f'{_FLAGS} AND {_OWN}', 10)})",

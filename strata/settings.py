@@ -37,8 +37,16 @@ class Settings:
     extra: dict = field(default_factory=dict)
 
     @staticmethod
-    def from_env(prefix: str = "STRATA_") -> Settings:
-        """Defaults overridden by environment variables such as STRATA_TOP_K; values already set in the environment win."""
+    def from_env(prefix: str = "STRATA_", file: str | None = None) -> Settings:
+        """Defaults overridden by environment variables such as STRATA_TOP_K, or by lines KEY=VALUE of a file; values already set in the environment win over the file's."""
+        given: dict[str, str] = {}
+        if file and os.path.exists(file):
+            with open(file, encoding="utf-8") as f:
+                for line in f:
+                    key, mark, value = line.strip().partition("=")
+                    if mark and not key.startswith("#"):
+                        given[key.strip()] = value.strip().strip("'\"")
+        given |= dict(os.environ)
         kinds = {"int": int, "float": float, "str": str}
-        got = {n: kinds[f.type](os.environ[prefix + n.upper()]) for n, f in Settings.__dataclass_fields__.items() if f.type in kinds and prefix + n.upper() in os.environ}
+        got = {n: kinds[f.type](given[prefix + n.upper()]) for n, f in Settings.__dataclass_fields__.items() if f.type in kinds and prefix + n.upper() in given}
         return Settings(**got)

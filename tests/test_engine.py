@@ -133,3 +133,20 @@ def test_spans_and_statements(spark, engine, tmp_path):
     assert [tuple(r) for r in io.read_statements(spark, str(tmp_path)).collect()] == [("F", "income", "Total revenue 5\nx")]
     told = {r["query_id"]: r["rendered"] for r in engine.financials_tool(spark.createDataFrame([("a", "Apple", "2023"), ("b", "zzz", "2023"), ("c", "AAPL", "2022")], "query_id string, ticker string, year string")).collect()}
     assert "revenue" in told["a"] and "100" in told["a"] and told["b"].startswith("Both a company") and told["c"].startswith("No figures of AAPL FY2022")
+
+
+def test_calls_are_planned(spark, engine):
+    rows = [("a", "Compare Apple and Pfizer revenue in 2023"), ("b", "How did Apple's supply risks evolve?"), ("c", "Which companies face risk?"), ("d", None), ("e", "Apple risk")]
+    got = {}
+    for r in engine.plan(spark.createDataFrame(rows, "query_id string, query string")).orderBy("query_id", "step").collect():
+        got.setdefault(r["query_id"], []).append((r["step"], r["tool"], r["ticker"], r["year"]))
+    assert got["a"] == [(1, "get_financials", "AAPL", 2023), (2, "search", "AAPL", 2023), (3, "get_financials", "PFE", 2023), (4, "search", "PFE", 2023)]
+    assert got["b"] == [(1, "search", "AAPL", 2024), (2, "search", "AAPL", 2023), (3, "search", "AAPL", 2022)]
+    assert got["c"] == [(1, "list_corpus", None, None), (2, "search", None, None)] and got["e"] == [(1, "search", "AAPL", 2024)] and "d" not in got
+
+
+def test_settings_of_a_file(tmp_path, monkeypatch):
+    (tmp_path / ".env").write_text("# x\nSTRATA_TOP_K=7\nSTRATA_RRF_K = '50'\n")
+    monkeypatch.setenv("STRATA_RRF_K", "40")
+    got = Settings.from_env(file=str(tmp_path / ".env"))
+    assert (got.top_k, got.rrf_k) == (7, 40) and Settings.from_env(file=str(tmp_path / "none")).top_k == 5
