@@ -11,10 +11,7 @@ _SCALE = {"thousand": 1e3, "k": 1e3, "million": 1e6, "mm": 1e6, "m": 1e6, "billi
 
 
 def _scale(word: Column) -> Column:
-    out = F.lit(1.0)
-    for name, by in _SCALE.items():
-        out = F.when(word == name, F.lit(by)).otherwise(out)
-    return out
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in _SCALE.items() for x in pair]), word), F.lit(1.0))
 
 
 def extract_numbers(text: Column) -> Column:
@@ -24,14 +21,15 @@ def extract_numbers(text: Column) -> Column:
     """
 
     def one(raw: Column) -> Column:
-        group = lambda i: F.regexp_extract(raw, NUMBER, i)
-        digits = group(2)
+        # the match holds nothing but sign, digits, scale word and percent sign, so its parts are told by simple means
+        low = F.lower(F.trim(raw))
+        digits = F.regexp_extract(raw, r"[0-9][0-9,]*(?:\.[0-9]+)?", 0)
         year = digits.rlike(r"^(19|20)\d\d$")
-        plain = F.regexp_replace(digits, ",", "").cast("double") * F.when(group(1) != "", F.lit(-1.0)).otherwise(F.lit(1.0))
-        by = F.when(year, F.lit(1.0)).otherwise(_scale(F.lower(group(3))))
+        plain = F.replace(digits, F.lit(","), F.lit("")).cast("double") * F.when(F.substring(raw, 1, 1).isin("(", "-"), F.lit(-1.0)).otherwise(F.lit(1.0))
+        by = F.when(year, F.lit(1.0)).otherwise(_scale(F.regexp_extract(low, "[a-z]+", 0)))
         return F.struct(
             F.trim(raw).alias("raw"), (plain * by).alias("value"), F.when(by == 1.0, F.array(plain)).otherwise(F.array(plain * by, plain)).alias("candidates"),
-            (group(4) != "").alias("is_pct"), year.alias("is_year"),
+            (F.endswith(low, F.lit("%")) | F.endswith(low, F.lit("percent"))).alias("is_pct"), year.alias("is_year"),
         )
 
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBER), F.lit(0)), one)
