@@ -217,4 +217,4 @@ def residue(docs: DataFrame, cfg: ResidueConfig = ResidueConfig()) -> DataFrame:
             rows = [(i, *e) for i, t, r in zip(pdf["id"], pdf["text"], pdf["recurring"]) if (e := evidence(t) or judged(r))]
             yield pd.DataFrame(rows, columns=["id", "kind", "passage"])
 
-    return residual(docs, cfg).where("text is not null").mapInPandas(run, "id bigint, kind string, passage string")
+    return residual(docs.where("text is not null"), cfg).mapInPandas(run, "id bigint, kind string, passage string")
