@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import text as tx
 from strata.operators import dense, fusion, lexical, predicates, questions
-from strata.session import ensure_checkpoint_dir, table
+from strata.session import ensure_checkpoint_dir, spread, table
 from strata.settings import Settings
 
 CFG = Settings(years=tuple(range(2010, 2025)))
@@ -37,7 +37,7 @@ def index(spark: SparkSession, sf: str) -> lexical.Index:
     """The stored index of the ingest table with vectors; written at first use."""
     path = f"{ensure_checkpoint_dir(spark)}/index-{_state(spark, f'{sf}/ingest.parquet')}"
     if path not in _HELD:
-        _HELD[path] = lexical.write(dense.embed(corpus(spark, sf), "text", "embedding"), path, CFG)
+        _HELD[path] = lexical.write(dense.embed(spread(corpus(spark, sf)), "text", "embedding"), path, CFG)
     return _HELD[path]
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.operators import quantities
-from strata.session import table
+from strata.session import spread, table
 
 
 def _figures(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,7 +23,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_amounts(spark: SparkSession, sf: str) -> DataFrame:
-    return quantities.amounts_in_texts(table(spark, sf, "ingest"), table(spark, sf, "fx_rate"))
+    return quantities.amounts_in_texts(spread(table(spark, sf, "ingest").select("record_id", "year", "text")), table(spark, sf, "fx_rate"))
 
 
 QUERIES = {"p4_found": p4_found, "p4_figures": p4_figures, "p4_amounts": p4_amounts}

@@ -49,6 +49,12 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_
     return F.broadcast(df) if n <= rows and (b or 0) <= size else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where its input has too few splits for work that costs far more than moving the rows; as it is on inputs of many splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> Iterator[list[Row]]:
     """The rows of a stated set of queries, a block at a time."""
     held: list[Row] = []
