@@ -44,9 +44,13 @@ def _documents(corpus: DataFrame) -> DataFrame:
     return corpus.select("key", tokenize(F.col("text")).alias("tokens"), *kept).withColumn("len", F.size("tokens"))
 
 
-def _index(docs: DataFrame, cfg: Settings) -> Index:
+def _frequencies(docs: DataFrame) -> DataFrame:
+    return docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def _index(docs: DataFrame, cfg: Settings, df: DataFrame | None = None) -> Index:
     sizes = docs.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    df = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = _frequencies(docs) if df is None else df
     raw = df.join(F.broadcast(sizes)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     idf = F.when(F.col("raw") < 0, F.lit(cfg.bm25_epsilon) * F.col("mean_idf")).otherwise(F.col("raw"))
@@ -64,10 +68,14 @@ def write(corpus: DataFrame, path: str, cfg: Settings = Settings(), mode: str =
     docs = _documents(corpus)
     order = [c for c in ("ticker", "year") if c in docs.columns]
     (docs.sortWithinPartitions(*order) if order else docs).write.mode(mode).parquet(f"{path}/docs")
-    made = _index(corpus.sparkSession.read.parquet(f"{path}/docs"), cfg)
+    spark = corpus.sparkSession
+    held = spark.read.parquet(f"{path}/docs")
+    # counted once; the weights and their mean are read from it
+    _frequencies(held).write.mode("overwrite").parquet(f"{path}/frequencies")
+    made = _index(held, cfg, spark.read.parquet(f"{path}/frequencies"))
     made.terms.write.mode("overwrite").parquet(f"{path}/terms")
     made.stats.write.mode("overwrite").parquet(f"{path}/stats")
-    return load(corpus.sparkSession, path)
+    return load(spark, path)
 
 
 def append(corpus: DataFrame, path: str, cfg: Settings = Settings()) -> Index:
